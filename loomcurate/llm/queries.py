@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .neardup import group_pairs, near_groups
 from .overlap import overlaps
+from .records import copies, records
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,5 +28,33 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.least("held_out_row", "train_row").alias("row_a"), F.greatest("held_out_row", "train_row").alias("row_b"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of sft records that differ in formatting only, each with the first row of its record."""
+    return copies(_table(spark, folder, "sft")).select(F.col("first").alias("row_a"), F.col("row_id").alias("row_b"))
+
+
+def p2_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per distinct sft record with its number of copies."""
+    return records(_table(spark, folder, "sft"))
+
+
+def _prompts(spark: SparkSession, folder: str) -> DataFrame:
+    each = [_table(spark, folder, t).select("row_id", F.col("prompt").alias("text"), F.lit(t).alias("scope")) for t in ("grpo", "rl")]
+    return each[0].unionByName(each[1])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two rows of one near-duplicate group of grpo or of rl."""
+    return group_pairs(near_groups(_prompts(spark, folder)))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row of grpo and rl with the least row of its group and the group's size; short and null prompts stand alone."""
+    groups = near_groups(_prompts(spark, folder))
+    sizes = groups.where("group_key is not null").groupBy("scope", "group_key").agg(F.min("row_id").alias("group_id"), F.count("*").alias("rows"))
+    joined = groups.join(sizes, ["scope", "group_key"], "left")
+    return joined.select("scope", "row_id", F.coalesce("group_id", "row_id").alias("group_id"), F.coalesce("rows", F.lit(1)).alias("rows"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups}
 SQL: dict[str, str] = {}
