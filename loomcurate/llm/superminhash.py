@@ -23,7 +23,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarra
     least = np.full((n, slots), np.inf)
     perm = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.int64), (len(values), 1))
     for j in range(slots):
-        draw = mix(seed + np.uint64(j + 1) * _STEP)
+        draw = mix(seed + np.uint64((j + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
         k = j + ((draw >> np.uint64(40)).astype(np.int64) % (slots - j))
         fraction = (draw & np.uint64(0xFFFFFFFFFF)).astype(np.float64) / float(1 << 40)
         at = np.arange(len(k))
