@@ -156,10 +156,10 @@ def _named(counts: np.ndarray, similarity: float) -> Callable:
     return run
 
 
-def _near(on: list[str], words_used: int, radius: int, coded: DataFrame) -> DataFrame:
+def _near(on: list[str], words_used: int, radius: int, coded: dict[bool, DataFrame]) -> DataFrame:
     """Distinct pairs of keys that share a code and lie within the radius."""
     cols = ["k", *on, *(f"f{i}" for i in range(words_used))]
-    side = lambda held, tag: coded.where(F.col("held_out") == held).select(*cols, F.explode("codes").alias("code")).select(*(F.col(c).alias(c if c in on else f"{tag}{c}") for c in [*cols, "code"] if c != "code"), "code")
+    side = lambda held, tag: coded[held].select(*cols, F.explode("codes").alias("code")).select(*(F.col(c).alias(c if c in on else f"{tag}{c}") for c in [*cols, "code"] if c != "code"), "code")
     distance = functools.reduce(operator.add, (F.bit_count(F.col(f"qf{i}").bitwiseXOR(F.col(f"tf{i}"))) for i in range(words_used)))
     return side(True, "q").join(side(False, "t"), [*on, "code"]).where(distance <= radius).select("qk", "tk").distinct()
 
@@ -173,14 +173,16 @@ def overlaps(rows: DataFrame, similar: float = SIMILAR, similar_named: float = S
     """
     rows = rows.where(F.col("split").isin("train", "valid", "test")).select("row_id", "text", "name", (F.col("split") != "train").alias("held_out"))
     bits, probes = code_plan(rows.count())
-    coded = rows.mapInArrow(_coded(bits, probes, similar), "k long, held_out boolean, " + ", ".join(f"f{i} long" for i in range(SHORT_WORDS)) + ", codes array<long>")
+    sides = {held: rows.where(F.col("held_out") == held) for held in (True, False)}
+    kinds = lambda n: ", ".join(f"f{i} long" for i in range(n)) + ", codes array<long>"
+    coded = {held: side.mapInArrow(_coded(bits, probes, similar), "k long, held_out boolean, " + kinds(SHORT_WORDS)) for held, side in sides.items()}
     members = rows.mapInArrow(_members, "row_id long, k long, held_out boolean, nm long")
     counts = np.zeros(NAME_CELLS, np.int64)
     for cell, n in members.where("nm is not null").groupBy(F.pmod("nm", F.lit(NAME_CELLS)).alias("cell")).count().collect():  # at most NAME_CELLS rows
         counts[cell] = n
-    named = rows.where("name is not null").mapInArrow(_named(counts, similar_named), "k long, held_out boolean, nm long, " + ", ".join(f"f{i} long" for i in range(16)) + ", codes array<long>")
+    named = {held: side.where("name is not null").mapInArrow(_named(counts, similar_named), "k long, held_out boolean, nm long, " + kinds(16)) for held, side in sides.items()}
     pairs = _near([], SHORT_WORDS, hamming_radius(similar, 64 * SHORT_WORDS), coded).unionByName(_near(["nm"], 16, hamming_radius(similar_named, 1024, 4.5), named)).distinct()
-    sets = lambda held: rows.where(F.col("held_out") == held).mapInArrow(_payload, "k long, shingles array<int>").groupBy("k").agg(F.first("shingles").alias("shingles"))
+    sets = lambda held: sides[held].mapInArrow(_payload, "k long, shingles array<int>").groupBy("k").agg(F.first("shingles").alias("shingles"))
     both = pairs.join(sets(True).select(F.col("k").alias("qk"), F.col("shingles").alias("qs")), "qk").join(sets(False).select(F.col("k").alias("tk"), F.col("shingles").alias("ts")), "tk")
     shared = F.size(F.array_intersect("qs", "ts"))
     alike = both.select("qk", "tk", shared.alias("shared"), (F.size("qs") + F.size("ts")).alias("sizes")).select("qk", "tk", (F.col("shared") / (F.col("sizes") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= min(similar, similar_named))
