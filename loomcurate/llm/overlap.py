@@ -176,9 +176,9 @@ def overlaps(rows: DataFrame, similar: float = SIMILAR, similar_named: float = S
     sides = {held: rows.where(F.col("held_out") == held) for held in (True, False)}
     kinds = lambda n: ", ".join(f"f{i} long" for i in range(n)) + ", codes array<long>"
     coded = {held: side.mapInArrow(_coded(bits, probes, similar), "k long, held_out boolean, " + kinds(SHORT_WORDS)) for held, side in sides.items()}
-    members = rows.mapInArrow(_members, "row_id long, k long, held_out boolean, nm long")
+    members = {held: side.mapInArrow(_members, "row_id long, k long, held_out boolean, nm long") for held, side in sides.items()}
     counts = np.zeros(NAME_CELLS, np.int64)
-    for cell, n in members.where("nm is not null").groupBy(F.pmod("nm", F.lit(NAME_CELLS)).alias("cell")).count().collect():  # at most NAME_CELLS rows
+    for cell, n in rows.where("name is not null").mapInArrow(_members, "row_id long, k long, held_out boolean, nm long").where("nm is not null").groupBy(F.pmod("nm", F.lit(NAME_CELLS)).alias("cell")).count().collect():  # at most NAME_CELLS rows
         counts[cell] = n
     named = {held: side.where("name is not null").mapInArrow(_named(counts, similar_named), "k long, held_out boolean, nm long, " + kinds(16)) for held, side in sides.items()}
     pairs = _near([], SHORT_WORDS, hamming_radius(similar, 64 * SHORT_WORDS), coded).unionByName(_near(["nm"], 16, hamming_radius(similar_named, 1024, 4.5), named)).distinct()
@@ -186,7 +186,7 @@ def overlaps(rows: DataFrame, similar: float = SIMILAR, similar_named: float = S
     both = pairs.join(sets(True).select(F.col("k").alias("qk"), F.col("shingles").alias("qs")), "qk").join(sets(False).select(F.col("k").alias("tk"), F.col("shingles").alias("ts")), "tk")
     shared = F.size(F.array_intersect("qs", "ts"))
     alike = both.select("qk", "tk", shared.alias("shared"), (F.size("qs") + F.size("ts")).alias("sizes")).select("qk", "tk", (F.col("shared") / (F.col("sizes") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= min(similar, similar_named))
-    q, t = (members.where(F.col("held_out") == held) for held in (True, False))
+    q, t = members[True], members[False]
     return (
         alike.join(q.select(F.col("row_id").alias("held_out_row"), F.col("k").alias("qk"), F.col("nm").alias("qn")), "qk")
         .join(t.select(F.col("row_id").alias("train_row"), F.col("k").alias("tk"), F.col("nm").alias("tn")), "tk")
