@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .leakage import leaks
 from .neardup import group_pairs, near_groups
 from .overlap import overlaps
+from .packing import fill, pack
 from .records import copies, records
 
 
@@ -56,5 +58,27 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("scope", "row_id", F.coalesce("group_id", "row_id").alias("group_id"), F.coalesce("rows", F.lit(1)).alias("rows"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups}
+def p4_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """The training sequence of every document or piece."""
+    return pack(_table(spark, folder, "documents"))
+
+
+def p4_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full each training sequence is."""
+    return fill(p4_sequences(spark, folder))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with passages of evaluation prompts."""
+    return leaks(_table(spark, folder, "documents"), _table(spark, folder, "evaluation"))
+
+
+def p5_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with passages of evaluation prompts that differ by at most two characters."""
+    return leaks(_table(spark, folder, "documents"), _table(spark, folder, "evaluation"), edits=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p3_groups, p4_sequences, p4_fill, p5_found, p5_edited)
+}
 SQL: dict[str, str] = {}
