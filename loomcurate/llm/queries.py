@@ -11,6 +11,7 @@ from .leakage import leaks
 from .neardup import group_pairs, near_groups
 from .overlap import overlaps
 from .packing import fill, pack
+from .pii import find_pii, redact_pii
 from .records import copies, records
 
 
@@ -78,7 +79,23 @@ def p5_edited(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(_table(spark, folder, "documents"), _table(spark, folder, "evaluation"), edits=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p3_groups, p4_sequences, p4_fill, p5_found, p5_edited)
-}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal information in documents, each distinct span once per document."""
+    return find_pii(_table(spark, folder, "documents"))
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with typed placeholders in place of personal information."""
+    return redact_pii(_table(spark, folder, "documents"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping row pairs per held-out split, source and table of the held-out row, and rows concerned."""
+    rows = _split_rows(spark, folder)
+    held = rows.select(F.col("row_id").alias("held_out_row"), "split", "source")
+    return overlaps(rows).join(held, "held_out_row").groupBy("split", "source").agg(F.count("*").alias("pairs"), F.countDistinct("held_out_row").alias("rows"))
+
+
+_ALL = (p1_found, p1_report, p2_found, p2_records, p3_found, p3_groups, p4_sequences, p4_fill, p5_found, p5_edited, p6_found, p6_redacted)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
