@@ -114,6 +114,8 @@ def _plausible_phone(span: str, context: str) -> float:
         return -1
     if len(d) >= 13 and luhn(d) and "+" not in span:
         return -1
+    if span[:2] == "00" and len(d) < 11:
+        return -1
     return 0.0
 
 
@@ -154,9 +156,9 @@ _NOT_PHONE = re.compile(r"(?i)(?:version|build|seed|hash|ticket|model|array|id|b
 _EMAIL_LOCAL = r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ._%+'-]{0,62}[A-Za-z0-9À-ɏ_+-])?"
 _LABEL = r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ-]{0,61}[A-Za-z0-9À-ɏ])?"
 _TOP = r"(?:[A-Za-z]{2,24}|xn--[a-z0-9-]+)"
-_PLAIN_EMAIL = re.compile(rf"(?<![\w.+%-]){_EMAIL_LOCAL}[^\S\r\n]?[@＠][^\S\r\n]?(?:{_LABEL}\.)+{_TOP}(?![\w-]|\.\w|[@＠])")
+_PLAIN_EMAIL = re.compile(rf"(?<![\w.+%-]){_EMAIL_LOCAL}(?:[@＠]|[^\S\r\n][@＠][^\S\r\n])(?:{_LABEL}\.)+{_TOP}(?![\w-]|\.\w|[@＠])")
 _SPELLED_EMAIL = re.compile(
-    rf"(?i)(?<![\w.+%-]){_EMAIL_LOCAL}(?:[^\S\r\n]{{0,2}}[\[({{<][^\S\r\n]?at[^\S\r\n]?[\])}}>][^\S\r\n]{{0,2}}|{_S}at{_S}|[^\S\r\n]?[@＠][^\S\r\n]?)"
+    rf"(?i)(?<![\w.+%-]){_EMAIL_LOCAL}(?:[^\S\r\n]{{0,2}}[\[({{<][^\S\r\n]?at[^\S\r\n]?[\])}}>][^\S\r\n]{{0,2}}|{_S}at{_S}|[@＠]|[^\S\r\n][@＠][^\S\r\n])"
     rf"{_LABEL}(?:(?:[^\S\r\n]{{0,2}}[\[({{<][^\S\r\n]?dot[^\S\r\n]?[\])}}>][^\S\r\n]{{0,2}}|{_S}dot{_S}|\.){_LABEL}){{0,4}}"
     rf"(?:[^\S\r\n]{{0,2}}[\[({{<][^\S\r\n]?dot[^\S\r\n]?[\])}}>][^\S\r\n]{{0,2}}|{_S}dot{_S}|\.)(?:{'|'.join(SPELLED_TOP)})(?![\w-]|\.\w)"
 )
