@@ -113,23 +113,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("sizes")).where(F.col("n") / (F.col("sizes") - F.col("n")) >= similar).select("a", "b")
 
 
+def _alike(pairs: DataFrame, sketches: DataFrame, floor: int) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in enough slots."""
+    a = sketches.select(F.col("k").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
+    b = sketches.select(F.col("k").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
+    return pairs.join(a, "a").join(b, "b").where(_agree("a0", "a1", "b0", "b1") >= floor).select("a", "b")
+
+
 def text_groups(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(k, component) of the distinct texts that have a near-duplicate of another text; rows as in near_groups()."""
     n, bands = bands_for(rows.count(), similar)
     floor = sketch_floor(similar)
     coded = written(rows.mapInArrow(_coded(n, bands), "k long, s0 long, s1 long, bands array<long>"), "bands")
-    sets = rows.mapInArrow(_payload, "k long, shingles array<int>").groupBy("k").agg(F.first("shingles").alias("shingles"))
-    each = coded.select("k", "s0", "s1", F.explode("bands").alias("band"))
-    buckets = each.groupBy("band").agg(F.min("k").alias("a"), F.min_by("s0", "k").alias("a0"), F.min_by("s1", "k").alias("a1"), F.max("k").alias("top"), F.count("*").alias("n")).where("a < top")
-    joined = written(each.join(buckets.drop("top"), "band"), "buckets")
-    first = joined.where("k <> a").where(_agree("s0", "s1", "a0", "a1") >= floor).select("a", F.col("k").alias("b")).distinct()
+    each = coded.select("k", F.explode("bands").alias("band"))
+    buckets = written(each.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n")).where("a < b"), "buckets")
+    members = written(each.join(buckets.where("n > 2").select("band", "a"), "band").distinct(), "members")
+    sketches = coded.select("k", "s0", "s1").distinct()
+    first = buckets.select("a", "b").union(members.where("k <> a").select("a", F.col("k").alias("b"))).distinct()
+    first = written(_alike(first, sketches, floor), "first")
+    needed = first.select(F.col("a").alias("k")).union(first.select("b")).union(members.select("k")).distinct()
+    sets = rows.mapInArrow(_payload, "k long, shingles array<int>").join(needed, "k", "left_semi").groupBy("k").agg(F.first("shingles").alias("shingles"))
+    sets = written(sets, "sets")
     links = written(_verified(first, sets, similar), "verified")
     found = components(links)
 
-    crowded = joined.where("n > 2").select("band", "k", "s0", "s1").join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+    crowded = members.select("band", "k").join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
     mixed = crowded.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    crowded = written(crowded.join(mixed, "band"), "crowded")
-    parts = crowded.groupBy("band", "c").agg(F.count("*").alias("n"))
+    crowded = written(crowded.join(mixed, "band").join(sketches, "k"), "crowded")
+    parts = crowded.select("band", "c").distinct()
     meet = parts.select("band", F.col("c").alias("c1")).join(parts.select("band", F.col("c").alias("c2")), "band").where("c1 < c2")
     left = crowded.select("band", F.col("c").alias("c1"), F.col("k").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
     right = crowded.select("band", F.col("c").alias("c2"), F.col("k").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
