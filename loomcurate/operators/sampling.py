@@ -74,3 +74,15 @@ def first_per_group(df: DataFrame, group: str, order: list[str], n: int) -> Data
 def manifest(df: DataFrame, name: str, seed: int) -> DataFrame:
     """One row that describes a data set: (name, available, keys, seed)."""
     return df.agg(F.count("*").alias("available")).select(F.lit(name).alias("name"), "available", F.lit(", ".join(sorted(df.columns))).alias("keys"), F.lit(dataset_seed(seed, name)).alias("seed"))
+
+
+def shuffled_order(df: DataFrame, within: str, order: str, position: str = "row_number") -> DataFrame:
+    """Adds the 1-based place of each row by `order` within each `within`. Rows are counted per range of the order (256 ranges by
+    its quantiles), so that one large group isn't numbered in one task; the order must be a number without nulls."""
+    cuts = df.groupBy(within).agg(F.array_distinct(F.percentile_approx(order, F.array(*(F.lit(i / 256) for i in range(1, 256))), F.lit(10_000))).alias("__cuts"))
+    rows = df.join(cuts, within).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    below = rows.groupBy(within, "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(within).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    below = below.select(within, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(within, "__b").orderBy(order)))
+    return ranked.join(below, [within, "__b"]).withColumn(position, F.col("__before") + F.col("__r")).drop("__b", "__r", "__before")
