@@ -42,9 +42,9 @@ def group_advantages(df: DataFrame, group: str, reward: str, expected: int = GRO
     w = Window.partitionBy(group)
     r = F.col(reward)
     valid = (F.count("*").over(w) == expected) & (F.min(F.coalesce(r.between(0, 1) & ~F.isnan(r), F.lit(False)).cast("int")).over(w) == 1)
-    checked = F.when(valid, r).otherwise(F.raise_error(F.lit(f"a group needs {expected} finite rewards from 0 to 1")).cast("double"))
+    fault = F.raise_error(F.lit(f"a group needs {expected} finite rewards from 0 to 1")).cast("double")
     std = F.stddev_pop(r).over(w)
-    return df.withColumn("advantage", F.when(std <= 1e-8, F.lit(0.0) * checked).otherwise((checked - F.avg(r).over(w)) / std))
+    return df.withColumn("advantage", F.when(~valid, fault).when(std <= 1e-8, 0.0).otherwise((r - F.avg(r).over(w)) / std))
 
 
 def gae(rewards: Column, values: Column, gamma: float = GAMMA, lam: float = LAMBDA) -> Column:
