@@ -143,3 +143,8 @@ def ngrams(tokens: Column, n: int) -> Column:
     """The runs of n consecutive tokens, joined by spaces; empty where there are fewer."""
     at = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
     return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def splits_cleanly(prompt: Column, answer: Column, tokenize=words) -> Column:
+    """Whether the tokens of prompt and answer, one after the other, are the tokens of the joined text. tokenize: column to array."""
+    return F.concat(tokenize(prompt), tokenize(answer)).eqNullSafe(tokenize(F.concat(prompt, answer)))

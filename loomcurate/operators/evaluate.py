@@ -69,35 +69,25 @@ def stage_position(stage: Column, stages: list[str]) -> Column:
 
 def run_checks(samples: DataFrame, judged: DataFrame, tasks: DataFrame, run: str) -> DataFrame:
     """(run, check, violations): tasks without a sample or verdict, unknown tasks, several attempts, and solutions that differ from the judged ones."""
-
-    def count(df: DataFrame, check: str, condition: Column) -> DataFrame:
-        return df.groupBy(run).agg(F.count_if(condition).alias("violations")).select(run, F.lit(check).alias("check"), "violations")
-
     runs = samples.select(run).distinct()
     expected = runs.join(tasks.select("task_id").distinct(), F.lit(True))  # a row per run and task, as many as complete runs have
     have = samples.groupBy(run, "task_id").agg(F.count("*").alias("n"), F.max("solution").alias("solution"))
     verdicts = judged.groupBy(run, "task_id").agg(F.count("*").alias("m"), F.max("solution").alias("judged_solution"))
     every = expected.withColumn("known", F.lit(True)).join(have, [run, "task_id"], "full_outer").join(verdicts, [run, "task_id"], "full_outer")
-    parts = [
-        count(every, "missing_sample", F.col("n").isNull()),
-        count(every, "missing_verdict", F.col("m").isNull()),
-        count(every, "unknown_task", F.col("known").isNull()),
-        count(every, "several_attempts", (F.col("n") > 1) | (F.col("m") > 1)),
-        count(every, "other_solution", F.col("n").isNotNull() & F.col("m").isNotNull() & ~F.col("solution").eqNullSafe(F.col("judged_solution"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def differing(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """(check, values): columns that should have one value over all rows of `by` and their number of distinct values, null included."""
-    out = None
-    for c in columns:
-        part = df.agg(F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias("values")).select(F.lit(c).alias("check"), "values")
-        out = part if out is None else out.unionByName(part)
-    return out
+    checks = {
+        "missing_sample": F.col("n").isNull(),
+        "missing_verdict": F.col("m").isNull(),
+        "unknown_task": F.col("known").isNull(),
+        "several_attempts": (F.col("n") > 1) | (F.col("m") > 1),
+        "other_solution": F.col("n").isNotNull() & F.col("m").isNotNull() & ~F.col("solution").eqNullSafe(F.col("judged_solution")),
+    }
+    return every.groupBy(run).agg(*(F.count_if(c).alias(k) for k, c in checks.items())).unpivot([run], list(checks), "check", "violations")
+
+
+def differing(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(check, values): columns that should have one value over all rows and their number of distinct values, null included."""
+    counts = df.agg(*(F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(c) for c in columns))
+    return counts.unpivot([], columns, "check", "values")
 
 
 def dev_metrics(scores: DataFrame, by: list[str], score: str = "score") -> DataFrame:

@@ -550,3 +550,31 @@ def curated_corpus(t):
     judged = S.first_accepted(rest, "k", "doc_id", F.col("n").between(6, 4000), "length", "duplicate", "outcome")
     split = judged.select(F.coalesce("outcome", P.split_of(F.col("norm"))).alias("outcome"))
     return rows.where("outcome is not null").select("outcome").unionByName(split).groupBy("outcome").agg(F.count("*").alias("rows"))
+
+
+@query("s6_1_reason_funnel", "SELECT reason, count(*) AS rows FROM (SELECT CASE WHEN source IS NULL THEN 'no_source' WHEN split = 'test' THEN 'test_row' END AS reason FROM sft) GROUP BY 1")
+def reason_funnel(t):
+    return G.funnel(G.waterfall(t.sft, [("no_source", F.col("source").isNotNull()), ("test_row", F.col("split") != "test")]))
+
+
+@query("s9_4_bare_code")
+def bare_code(t):
+    return t.samples.select("sample_id", "received_at", C.bare_code_udf(F.col("raw_completion")).alias("code"))
+
+
+@query("s9_17_token_count", f"SELECT row_id, len({W.format('prompt')}) AS tokens, prompt_tokens AS stated FROM sft WHERE prompt IS NOT NULL")
+def token_count(t):
+    return t.sft.where("prompt is not null").select("row_id", X.token_count(F.col("prompt")).cast("long").alias("tokens"), F.col("prompt_tokens").alias("stated"))
+
+
+_BOTH = f"list_concat({W.format('prompt')}, {W.format('completion')}) = {W.format('prompt || completion')}"
+
+
+@query("s9_18_token_boundary", f"SELECT row_id, {_BOTH} AS clean FROM sft WHERE prompt IS NOT NULL AND completion IS NOT NULL")
+def token_boundary(t):
+    return t.sft.where("prompt is not null and completion is not null").select("row_id", X.splits_cleanly(F.col("prompt"), F.col("completion")).alias("clean"))
+
+
+@query("s13_5_single_stage", "SELECT sample_id, count(*) AS rows FROM samples GROUP BY 1 HAVING count(*) > 1")
+def single_stage(t):
+    return D.key_violations(t.samples, "sample_id")
