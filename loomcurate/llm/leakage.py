@@ -211,7 +211,9 @@ def _scan(index: Index, edits: int) -> object:
         for ident, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             whole = " ".join(canonical(text)).encode()
             for at in range(0, max(len(whole), 1), PART_CHARS):
-                piece = whole[max(0, at - overlap) : at + PART_CHARS + overlap]
+                low = whole.rfind(b" ", 0, at - overlap) + 1 if at > overlap else 0
+                high = whole.find(b" ", at + PART_CHARS + overlap)
+                piece = whole[low : high if high >= 0 else len(whole)]
                 starts.append(size)
                 ids.append(ident)
                 made.append(piece)

@@ -57,7 +57,7 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.
             found = [words(t) for t in batch.column("text").to_pylist()]
             rows = [i for i, w in enumerate(found) if len(w) >= SHINGLE]
             docs = [found[i] for i in rows]
-            salts = np.array([_salt(s) for s in batch.column("scope").to_pylist()], np.uint64)[rows]
+            salts = np.array([_salt(s or "") for s in batch.column("scope").to_pylist()], np.uint64)[rows]
             keys = (np.array([content_key(d) for d in docs], np.int64).view(np.uint64) ^ salts).view(np.int64)
             yield batch, rows, docs, keys, salts
 
@@ -120,6 +120,23 @@ def _alike(pairs: DataFrame, sketches: DataFrame, floor: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(_agree("a0", "a1", "b0", "b1") >= floor).select("a", "b")
 
 
+def _between(parts: DataFrame, members: DataFrame, floor: int) -> DataFrame:
+    """Distinct pairs (a, b) of members of different components in one bucket whose sketches agree in enough slots.
+
+    parts has a row per bucket and component, with its one member where n = 1. Two such are compared where they meet;
+    larger components are expanded to their members only against other components.
+    """
+    side = lambda df, tag: df.select("band", *(F.col(x).alias(f"{tag}{x}") for x in ("c", "k", "s0", "s1")))
+    agree = _agree("as0", "as1", "bs0", "bs1") >= floor
+    ordered = (F.least("ak", "bk").alias("a"), F.greatest("ak", "bk").alias("b"))
+    single = parts.where("n = 1")
+    small = side(single, "a").join(side(single, "b"), "band").where("ac < bc").where(agree).select(*ordered)
+    large = parts.where("n > 1").select("band", F.col("c").alias("ac"))
+    meet = large.join(parts.select("band", F.col("c").alias("bc"), "n"), "band").where("ac < bc or (ac > bc and n = 1)").drop("n")
+    big = meet.join(side(members, "a"), ["band", "ac"]).join(side(members, "b"), ["band", "bc"]).where(agree).select(*ordered)
+    return small.union(big).distinct()
+
+
 def text_groups(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(k, component) of the distinct texts that have a near-duplicate of another text; rows as in near_groups()."""
     n, bands = bands_for(rows.count(), similar)
@@ -140,11 +157,8 @@ def text_groups(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     crowded = members.select("band", "k").join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
     mixed = crowded.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
     crowded = written(crowded.join(mixed, "band").join(sketches, "k"), "crowded")
-    parts = crowded.select("band", "c").distinct()
-    meet = parts.select("band", F.col("c").alias("c1")).join(parts.select("band", F.col("c").alias("c2")), "band").where("c1 < c2")
-    left = crowded.select("band", F.col("c").alias("c1"), F.col("k").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    right = crowded.select("band", F.col("c").alias("c2"), F.col("k").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
-    second = meet.join(left, ["band", "c1"]).join(right, ["band", "c2"]).where(_agree("a0", "a1", "b0", "b1") >= floor).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    parts = crowded.groupBy("band", "c").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
+    second = _between(parts, crowded, floor)
     more = written(_verified(second.join(first, ["a", "b"], "left_anti"), sets, similar), "verified")
     return components(links.union(more)).select(F.col("node").alias("k"), "component")
 
@@ -152,7 +166,7 @@ def text_groups(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def near_groups(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(row_id, scope, group_key): rows with the same scope and group_key are connected by links of at least `similar`.
 
-    rows has row_id bigint, text string and scope string; rows of different scopes are never grouped. Copies of a text share
+    rows has row_id bigint, text string and scope string; rows of different scopes are never grouped, and a null scope is one of its own. Copies of a text share
     its group. Null, blank and short texts have a null group_key.
     """
     rows = rows.select("row_id", "text", "scope")

@@ -98,4 +98,35 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
 
 _ALL = (p1_found, p1_report, p2_found, p2_records, p3_found, p3_groups, p4_sequences, p4_fill, p5_found, p5_edited, p6_found, p6_redacted)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+
+_WORDS = "regexp_extract_all(lower(replace(prompt, 'ß', 'ss')), '[a-z0-9_]+')"
+
+
+def _similarity_sql(rows: str, allowed: str) -> str:
+    """CTEs up to j (a, b, named, similarity): pairs of rows a < b with a common shingle that are allowed to meet."""
+    return f"""WITH RECURSIVE w AS (SELECT *, {_WORDS} AS w FROM ({rows})),
+s AS (SELECT DISTINCT row_id, tab, held, name, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, greatest(len(w) - 1, 1))) AS u(i)),
+n AS (SELECT row_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT x.row_id AS a, y.row_id AS b, bool_or(x.name <> '' AND x.name = y.name) AS named, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.row_id < y.row_id AND {allowed} GROUP BY 1, 2),
+j AS (SELECT a, b, named, c / (p.n + q.n - c) AS similarity FROM c JOIN n p ON p.row_id = a JOIN n q ON q.row_id = b)"""
+
+
+_P1 = _similarity_sql(
+    """SELECT row_id, prompt, 'x' AS tab, split <> 'train' AS held, '' AS name FROM sft WHERE split IN ('train', 'valid', 'test') UNION ALL
+SELECT row_id, prompt, 'x', split <> 'train', regexp_replace(lower(coalesce(entry_point, '')), '[^a-z0-9]', '', 'g') FROM grpo WHERE split IN ('train', 'valid', 'test')""",
+    "x.held <> y.held",
+)
+_P1_PAIRS = "SELECT a, b FROM j WHERE similarity >= 0.6 OR (named AND similarity >= 0.35)"
+_P3 = (
+    _similarity_sql("SELECT row_id, prompt, 'grpo' AS tab, false AS held, '' AS name FROM grpo UNION ALL SELECT row_id, prompt, 'rl', false, '' FROM rl", "x.tab = y.tab")
+    + """, l AS (SELECT a, b FROM j WHERE similarity >= 0.6 UNION SELECT b, a FROM j WHERE similarity >= 0.6),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a)"""
+)
+SQL: dict[str, str] = {
+    "p1_found": f"{_P1} SELECT a AS row_a, b AS row_b FROM ({_P1_PAIRS})",
+    "p1_report": f"""{_P1}, k AS ({_P1_PAIRS}), t AS (SELECT row_id, split, source FROM sft UNION ALL SELECT row_id, split, source FROM grpo)
+SELECT split, source, count(*) AS pairs, count(DISTINCT row_id) AS rows FROM k JOIN t ON t.row_id IN (k.a, k.b) AND t.split <> 'train' GROUP BY 1, 2""",
+    "p3_found": f"{_P3} SELECT a AS row_a, b AS row_b FROM reach WHERE a < b",
+    "p3_groups": f"""{_P3} SELECT tab AS scope, row_id, coalesce(least(row_id, first), row_id) AS group_id, coalesce(n, 1) AS rows
+FROM (SELECT 'grpo' AS tab, row_id FROM grpo UNION ALL SELECT 'rl', row_id FROM rl) LEFT JOIN (SELECT a AS row_id, min(b) AS first, count(DISTINCT b) AS n FROM reach GROUP BY 1) USING (row_id)""",
+}

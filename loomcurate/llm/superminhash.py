@@ -13,12 +13,11 @@ import numpy as np
 from .shingles import mix
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+PART = 200_000
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarray:
-    """(documents, slots) uint64. Equal slots occur with the Jaccard similarity as probability. No document may be empty."""
-    n = len(offsets) - 1
-    owner = np.repeat(np.arange(n), np.diff(offsets))
+def _least(values: np.ndarray, owner: np.ndarray, n: int, slots: int) -> np.ndarray:
+    """(n, slots): the least value of each slot over the elements of each owner."""
     seed = mix(values.astype(np.uint64) * _STEP + np.uint64(1))
     least = np.full((n, slots), np.inf)
     perm = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.int64), (len(values), 1))
@@ -35,6 +34,22 @@ def signatures(values: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarra
             break
         if not going.all() and (keep := going[owner]).mean() < 0.7:
             owner, seed, perm = owner[keep], seed[keep], perm[keep]
+    return least
+
+
+def signatures(values: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarray:
+    """(documents, slots) uint64. Equal slots occur with the Jaccard similarity as probability. No document may be empty.
+
+    Works through PART elements at a time, so a very long document takes no more memory than others.
+    """
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    least = np.full((n, slots), np.inf)
+    for at in range(0, len(values), PART):
+        mine = owner[at : at + PART]
+        low = mine[0]
+        rows = slice(low, mine[-1] + 1)
+        least[rows] = np.minimum(least[rows], _least(values[at : at + PART], mine - low, mine[-1] + 1 - low, slots))
     return mix(least.view(np.uint64))
 
 
