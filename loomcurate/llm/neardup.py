@@ -62,14 +62,6 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.
             yield batch, rows, docs, keys, salts
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, rows, _, keys, _ in _batches(batches, 10_000):
-        k: list[int | None] = [None] * batch.num_rows
-        for i, key in zip(rows, keys.tolist()):
-            k[i] = key
-        yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("scope"), pa.array(k, pa.int64())], ["row_id", "scope", "k"])
-
-
 def _fresh(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[tuple[list[list[str]], np.ndarray, np.ndarray]]:
     seen: set[int] = set()
     for _, _, docs, keys, salts in _batches(batches, size):
@@ -85,13 +77,30 @@ def _fresh(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[tupl
 
 
 def _coded(rows: int, bands: int) -> Callable:
+    """Every row with its key; sketch and bands only where this task hasn't sent the key yet."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, keys, salts in _fresh(batches):
-            sig = signatures(*shingle_sets(docs, SHINGLE), max(SKETCH_SLOTS, rows * bands))
-            codes = np.ascontiguousarray(band_keys(sig, rows, salts)[:, :bands])
-            sketch = planes(sig)
+        seen: set[int] = set()
+        for batch, at, docs, keys, salts in _batches(batches, 1000):
+            if len(seen) > _SEEN:
+                seen.clear()
+            fresh = [j for j, k in enumerate(keys.tolist()) if not (k in seen or seen.add(k))]
+            columns: list = [np.zeros(batch.num_rows, np.int64) for _ in range(3)]
+            columns[0][at] = keys
+            counts = np.zeros(batch.num_rows, np.int64)
+            codes = np.empty(0, np.int64)
+            if fresh:
+                sig = signatures(*shingle_sets([docs[j] for j in fresh], SHINGLE), max(SKETCH_SLOTS, rows * bands))
+                where = np.array(at)[fresh]
+                columns[1][where], columns[2][where] = planes(sig).T
+                counts[where] = bands
+                codes = np.ascontiguousarray(band_keys(sig, rows, salts[fresh])[:, :bands]).ravel()
+            short = np.ones(batch.num_rows, bool)
+            short[at] = False
+            offsets = np.concatenate([[0], np.cumsum(counts)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(np.ascontiguousarray(sketch[:, 0])), pa.array(np.ascontiguousarray(sketch[:, 1])), int_lists(codes.ravel(), np.arange(len(keys) + 1) * bands)], ["k", "s0", "s1", "bands"]
+                [batch.column("row_id"), batch.column("scope"), pa.array(columns[0], mask=short), pa.array(columns[1]), pa.array(columns[2]), int_lists(codes, offsets)],
+                ["row_id", "scope", "k", "s0", "s1", "bands"],
             )
 
     return run
@@ -137,14 +146,19 @@ def _between(parts: DataFrame, members: DataFrame, floor: int) -> DataFrame:
     return small.union(big).distinct()
 
 
-def text_groups(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(k, component) of the distinct texts that have a near-duplicate of another text; rows as in near_groups()."""
+def encoded(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(row_id, scope, k, s0, s1, bands) of every row, written: its text's key, and sketch and bands of each text at least once."""
     n, bands = bands_for(rows.count(), similar)
+    return written(rows.mapInArrow(_coded(n, bands), "row_id long, scope string, k long, s0 long, s1 long, bands array<long>"), "bands")
+
+
+def text_groups(rows: DataFrame, coded: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(k, component) of the distinct texts that have a near-duplicate of another text; coded is encoded(rows)."""
+    coded = coded.where(F.size("bands") > 0)
     floor = sketch_floor(similar)
-    coded = written(rows.mapInArrow(_coded(n, bands), "k long, s0 long, s1 long, bands array<long>"), "bands")
     each = coded.select("k", F.explode("bands").alias("band"))
     buckets = written(each.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n")).where("a < b"), "buckets")
-    members = written(each.join(buckets.where("n > 2").select("band", "a"), "band").distinct(), "members")
+    members = written(each.join(buckets.where("n > 2").select("band", "a").hint("shuffle_hash"), "band"), "members")
     sketches = coded.select("k", "s0", "s1").distinct()
     first = buckets.select("a", "b").union(members.where("k <> a").select("a", F.col("k").alias("b"))).distinct()
     first = written(_alike(first, sketches, floor), "first")
@@ -160,7 +174,7 @@ def text_groups(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     parts = crowded.groupBy("band", "c").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
     second = _between(parts, crowded, floor)
     more = written(_verified(second.join(first, ["a", "b"], "left_anti"), sets, similar), "verified")
-    return components(links.union(more)).select(F.col("node").alias("k"), "component")
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)).select(F.col("node").alias("k"), "component")
 
 
 def near_groups(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -170,8 +184,9 @@ def near_groups(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     its group. Null, blank and short texts have a null group_key.
     """
     rows = rows.select("row_id", "text", "scope")
-    groups = text_groups(rows, similar)
-    return rows.mapInArrow(_members, "row_id long, scope string, k long").join(groups, "k", "left").select("row_id", "scope", F.coalesce("component", "k").alias("group_key"))
+    coded = encoded(rows, similar)
+    groups = text_groups(rows, coded, similar)
+    return coded.select("row_id", "scope", "k").join(groups, "k", "left").select("row_id", "scope", F.coalesce("component", "k").alias("group_key"))
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
