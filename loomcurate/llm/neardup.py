@@ -62,22 +62,8 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.
             yield batch, rows, docs, keys, salts
 
 
-def _fresh(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[tuple[list[list[str]], np.ndarray, np.ndarray]]:
-    seen: set[int] = set()
-    for _, _, docs, keys, salts in _batches(batches, size):
-        if len(seen) > _SEEN:
-            seen.clear()
-        keep = []
-        for j, k in enumerate(keys.tolist()):
-            if k not in seen:
-                seen.add(k)
-                keep.append(j)
-        if keep:
-            yield [docs[j] for j in keep], keys[keep], salts[keep]
-
-
 def _coded(rows: int, bands: int) -> Callable:
-    """Every row with its key; sketch and bands only where this task hasn't sent the key yet."""
+    """Every row with its key; sketch, bands and shingles only where this task hasn't sent the key yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -88,29 +74,25 @@ def _coded(rows: int, bands: int) -> Callable:
             columns: list = [np.zeros(batch.num_rows, np.int64) for _ in range(3)]
             columns[0][at] = keys
             counts = np.zeros(batch.num_rows, np.int64)
-            codes = np.empty(0, np.int64)
+            codes, values, sizes = np.empty(0, np.int64), np.empty(0, np.uint32), np.zeros(batch.num_rows, np.int64)
             if fresh:
-                sig = signatures(*shingle_sets([docs[j] for j in fresh], SHINGLE), max(SKETCH_SLOTS, rows * bands))
+                values, starts = shingle_sets([docs[j] for j in fresh], SHINGLE)
+                sig = signatures(values, starts, max(SKETCH_SLOTS, rows * bands))
                 where = np.array(at)[fresh]
                 columns[1][where], columns[2][where] = planes(sig).T
-                counts[where] = bands
+                counts[where], sizes[where] = bands, np.diff(starts)
                 codes = np.ascontiguousarray(band_keys(sig, rows, salts[fresh])[:, :bands]).ravel()
             short = np.ones(batch.num_rows, bool)
             short[at] = False
-            offsets = np.concatenate([[0], np.cumsum(counts)])
+            offsets = lambda n: np.concatenate([[0], np.cumsum(n)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_id"), batch.column("scope"), pa.array(columns[0], mask=short), pa.array(columns[1]), pa.array(columns[2]), int_lists(codes, offsets)],
-                ["row_id", "scope", "k", "s0", "s1", "bands"],
+                [batch.column("row_id"), batch.column("scope"), pa.array(columns[0], mask=short), pa.array(columns[1]), pa.array(columns[2]), int_lists(codes, offsets(counts)), int_lists(values, offsets(sizes))],
+                ["row_id", "scope", "k", "s0", "s1", "bands", "shingles"],
             )
 
     return run
 
 
-def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for docs, keys, _ in _fresh(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(keys), int_lists(*shingle_sets(docs, SHINGLE))], ["k", "shingles"])
-
-
 def _agree(x0: str, x1: str, y0: str, y1: str) -> F.Column:
     return F.lit(SKETCH_SLOTS) - F.bit_count(F.col(x0).bitwiseXOR(F.col(y0)).bitwiseOR(F.col(x1).bitwiseXOR(F.col(y1))))
 
@@ -147,13 +129,13 @@ def _between(parts: DataFrame, members: DataFrame, floor: int) -> DataFrame:
 
 
 def encoded(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(row_id, scope, k, s0, s1, bands) of every row, written: its text's key, and sketch and bands of each text at least once."""
+    """(row_id, scope, k, s0, s1, bands, shingles) of every row, written: its text's key; the rest for each text at least once."""
     n, bands = bands_for(rows.count(), similar)
-    return written(rows.mapInArrow(_coded(n, bands), "row_id long, scope string, k long, s0 long, s1 long, bands array<long>"), "bands")
+    return written(rows.mapInArrow(_coded(n, bands), "row_id long, scope string, k long, s0 long, s1 long, bands array<long>, shingles array<int>"), "bands")
 
 
-def text_groups(rows: DataFrame, coded: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(k, component) of the distinct texts that have a near-duplicate of another text; coded is encoded(rows)."""
+def text_groups(coded: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(k, component) of the distinct texts that have a near-duplicate of another text, from encoded()."""
     coded = coded.where(F.size("bands") > 0)
     floor = sketch_floor(similar)
     each = coded.select("k", F.explode("bands").alias("band"))
@@ -163,7 +145,7 @@ def text_groups(rows: DataFrame, coded: DataFrame, similar: float = SIMILAR) ->
     first = buckets.select("a", "b").union(members.where("k <> a").select("a", F.col("k").alias("b"))).distinct()
     first = written(_alike(first, sketches, floor), "first")
     needed = first.select(F.col("a").alias("k")).union(first.select("b")).union(members.select("k")).distinct()
-    sets = rows.mapInArrow(_payload, "k long, shingles array<int>").join(needed, "k", "left_semi").groupBy("k").agg(F.first("shingles").alias("shingles"))
+    sets = coded.select("k", "shingles").join(needed, "k", "left_semi").groupBy("k").agg(F.first("shingles").alias("shingles"))
     sets = written(sets, "sets")
     links = written(_verified(first, sets, similar), "verified")
     found = components(links)
@@ -185,7 +167,7 @@ def near_groups(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     rows = rows.select("row_id", "text", "scope")
     coded = encoded(rows, similar)
-    groups = text_groups(rows, coded, similar)
+    groups = text_groups(coded, similar)
     return coded.select("row_id", "scope", "k").join(groups, "k", "left").select("row_id", "scope", F.coalesce("component", "k").alias("group_key"))
 
 
