@@ -141,7 +141,8 @@ def _tax(span: str, context: str) -> float:
 def _social(span: str, context: str) -> float:
     """Area 666 and areas from 900 are never issued: what bears them is a stand-in for a number of this kind."""
     d = _digits(span)
-    if d[3:5] == "00" or d[5:] == "0000" or d[:3] == "000":
+    stand_in = d[:3] == "666" or d[0] == "9"
+    if not stand_in and (d[3:5] == "00" or d[5:] == "0000" or d[:3] == "000"):
         return -1
     return 0.0 if span != d else (0.1 if d[:3] == "666" else -0.2)
 

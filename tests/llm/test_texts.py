@@ -153,6 +153,7 @@ PII = [
     ("Call me ((826) 555 0182) or +49 (0)30-23125786 ext. 3", [("phone", "(826) 555 0182"), ("phone", "+49 (0)30-23125786")]),
     ("Call 0800 times and you get 1560-8134-69 at 12:19, build 2026.04.50", []),
     ("SSN 666-12-3906 and QQ 31 54 09 B", [("id_number", "666-12-3906"), ("id_number", "QQ 31 54 09 B")]),
+    ("rows 666 00 5495", [("id_number", "666 00 5495")]),
     ("Die Steuer-ID 00 749 172 163 und Pass XR 0437047", [("id_number", "00 749 172 163"), ("id_number", "XR 0437047")]),
     ("身份证号 990836198309061924 出现", [("id_number", "990836198309061924")]),
     ("Checksums 003404077 and QQ-59dbe1b differ; batch 666 of 434", []),
