@@ -2,54 +2,84 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import text as T
+from ..functions import text as X
 
 LONGEST, SHORTEST = 12, 6
-#: A held-out side is broadcast only below so many grams (about 100 bytes each).
-BROADCAST_GRAMS = 200_000
+WORD = re.compile("[a-z0-9_]+")
+#: Grams of the held-out side go to the executors only up to so many (about 1 kB each).
+BROADCAST_GRAMS = 100_000
 
 
 def held_out_grams(tasks: DataFrame, prompt: str = "prompt") -> DataFrame:
     """(n, gram): all runs of 12 words of prompts of 12 words or more, and the whole of those of 6 to 11; distinct."""
-    tokens = tasks.select(T.words(F.col(prompt)).alias("t"))
-    long = tokens.where(F.size("t") >= LONGEST).select(F.lit(LONGEST).alias("n"), F.explode_outer(T.ngrams(F.col("t"), LONGEST)).alias("gram"))
+    tokens = tasks.select(X.words(F.col(prompt)).alias("t"))
+    long = tokens.where(F.size("t") >= LONGEST).select(F.lit(LONGEST).alias("n"), F.explode_outer(X.ngrams(F.col("t"), LONGEST)).alias("gram"))
     short = tokens.where((F.size("t") >= SHORTEST) & (F.size("t") < LONGEST)).select(F.size("t").alias("n"), F.array_join("t", " ").alias("gram"))
     return long.unionByName(short).distinct()
 
 
+def _scan(grams: frozenset[tuple[str, ...]], kind: pa.DataType, name: str) -> Callable:
+    """Keys of the texts that hold a gram. Only runs of words that occur in some gram are looked at more closely."""
+    vocabulary = frozenset(w for g in grams for w in g)
+    sizes = sorted({len(g) for g in grams})
+    runs = re.compile(b"\x01{%d,}" % sizes[0])
+
+    def holds(text: str | None) -> bool:
+        words = WORD.findall(text.casefold()) if text else []
+        for m in runs.finditer(bytes(map(vocabulary.__contains__, words))):
+            a, b = m.span()
+            if any(tuple(words[i : i + n]) in grams for n in sizes for i in range(a, b - n + 1)):
+                return True
+        return False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [i for i, t in enumerate(batch.column(1).to_pylist()) if holds(t)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found, pa.int64())).cast(kind)], [name])
+
+    return run
+
+
 def overlapping(df: DataFrame, key: str, text: str, tasks: DataFrame, prompt: str = "prompt") -> DataFrame:
     """The distinct keys of rows whose text holds a gram of a task. Null and short texts never do.
 
-    explode_outer keeps Spark from repeating the tokenizer in an inferred filter. The grams are broadcast if they are few;
-    otherwise both sides are shuffled by gram.
+    Up to BROADCAST_GRAMS grams go to the executors, which scan the texts once and shuffle only the keys found. More grams are
+    joined: both sides are shuffled by gram; explode_outer keeps Spark from repeating the tokenizer in an inferred filter.
     """
     grams = held_out_grams(tasks, prompt)
-    sizes = [r[0] for r in grams.select("n").distinct().collect()]  # at most 7 values
-    if not sizes:
+    few = grams.limit(BROADCAST_GRAMS + 1).collect()  # bounded
+    if not few:
         return df.select(key).limit(0)
-    tokens = df.select(key, T.words(F.col(text)).alias("t"))
-    each = F.flatten(F.array(*(T.ngrams(F.col("t"), n) for n in sorted(sizes))))
+    if len(few) <= BROADCAST_GRAMS:
+        field = df.schema[key]
+        scan = _scan(frozenset(tuple(r["gram"].split(" ")) for r in few), to_arrow_type(field.dataType), key)
+        return df.select(key, text).mapInArrow(scan, T.StructType([T.StructField(key, field.dataType)])).distinct()
+    tokens = df.select(key, X.words(F.col(text)).alias("t"))
+    each = F.flatten(F.array(*(X.ngrams(F.col("t"), n) for n in range(SHORTEST, LONGEST + 1))))
     rows = tokens.select(key, F.explode_outer(each).alias("gram")).where("gram is not null")
-    held = grams.select("gram").distinct()
-    if held.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
-        held = F.broadcast(held)
-    return rows.join(held, "gram", "left_semi").select(key).distinct()
+    return rows.join(grams.select("gram").distinct(), "gram", "left_semi").select(key).distinct()
 
 
 def named_like(df: DataFrame, key: str, names: Column, tasks: DataFrame, entry_point: str = "entry_point") -> DataFrame:
     """The distinct keys of rows with a function name that equals a task's, letter case and underscores aside."""
-    held = tasks.select(T.plain_name(F.col(entry_point)).alias("name")).where("name <> ''").distinct()
-    mine = df.select(key, F.explode_outer(names).alias("raw")).select(key, T.plain_name(F.col("raw")).alias("name"))
+    held = tasks.select(X.plain_name(F.col(entry_point)).alias("name")).where("name <> ''").distinct()
+    mine = df.select(key, F.explode_outer(names).alias("raw")).select(key, X.plain_name(F.col("raw")).alias("name"))
     return mine.join(held, "name", "left_semi").select(key).distinct()
 
 
 def without_texts(df: DataFrame, text: str, held_out: DataFrame, held_text: str) -> DataFrame:
     """Rows whose normalized text isn't a held-out text. Null texts stay."""
-    held = held_out.select(T.key_hash(F.col(held_text)).alias("__key")).where("__key is not null").distinct()
-    return df.withColumn("__key", T.key_hash(F.col(text))).join(held, "__key", "left_anti").drop("__key")
+    held = held_out.select(X.key_hash(F.col(held_text)).alias("__key")).where("__key is not null").distinct()
+    return df.withColumn("__key", X.key_hash(F.col(text))).join(held, "__key", "left_anti").drop("__key")
 
 
 def crosses(valid: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:

@@ -28,7 +28,9 @@ def test_statuses_and_waterfall(spark):
         G.require_rows(df.withColumn("split", F.lit("a")), "split", {"b": 1}).collect()
 
 
-def test_overlap_by_grams(spark):
+@pytest.mark.parametrize("most", [200_000, 1])
+def test_overlap_by_grams(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "BROADCAST_GRAMS", most)
     tasks = spark.createDataFrame([("Write a Python function to reverse every word in a sentence.",), (" ".join(f"w{i}" for i in range(13)),), ("one two three four five",), (None,)], "prompt string")
     grams = rows(D.held_out_grams(tasks))
     assert [g[0] for g in grams] == [11, 12, 12]
