@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import drop_written, written
 from .components import components
 from .shingles import content_key, int_lists, shingle_sets, words
 from .superminhash import band_keys, planes, signatures
@@ -156,7 +156,10 @@ def text_groups(coded: DataFrame, similar: float = SIMILAR) -> DataFrame:
     parts = crowded.groupBy("band", "c").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
     second = _between(parts, crowded, floor)
     more = written(_verified(second.join(first, ["a", "b"], "left_anti"), sets, similar), "verified")
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)).select(F.col("node").alias("k"), "component")
+    grouped = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    for table in (buckets, members, first, sets, links, found, crowded, more):  # the result no longer depends on them
+        drop_written(table)
+    return grouped.select(F.col("node").alias("k"), "component")
 
 
 def near_groups(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
