@@ -135,10 +135,3 @@ def ppo_loss(new: Column, old: Column, values: Column, old_values: Column, advan
 def hit_length_limit(tokens: Column, limit: int, eos: int) -> Column:
     """Whether an answer has as many tokens as allowed and doesn't end with the end token."""
     return (F.size(tokens) == limit) & (F.element_at(tokens, -1) != eos)
-
-
-def batches(df: DataFrame, order: str, size: int = 16, partition: str | None = None) -> DataFrame:
-    """Adds `batch`: consecutive rows in groups of `size`, the last one short. Give a partition column beyond small tables:
-    numbering all rows in one order needs one task."""
-    w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))

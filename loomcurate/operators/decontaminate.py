@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
+from .sampling import ranked
 
 LONGEST, SHORTEST = 12, 6
 WORD = re.compile("[a-z0-9_]+")
@@ -126,9 +127,6 @@ def coverage_gaps(tables: dict[str, DataFrame], key: str) -> DataFrame:
 
 def zipped(left: DataFrame, right: DataFrame, split: str, order_left: str, order_right: str) -> DataFrame:
     """Row i of each split on the left beside row i on the right; raises while running where one side is longer."""
-    from pyspark.sql import Window
-
-    number = lambda df, order: df.withColumn("__i", F.row_number().over(Window.partitionBy(split).orderBy(order)))
-    a, b = number(left, order_left), number(right, order_right)
+    a, b = ranked(left, split, order_left, "__i"), ranked(right, split, order_right, "__i")
     both = a.join(b.withColumn("__r", F.lit(True)), [split, "__i"], "full_outer").withColumn("__l", F.col(order_left))
-    return both.withColumn("row_number", F.when(F.col("__r").isNotNull() & F.col("__l").isNotNull(), F.col("__i")).otherwise(F.raise_error(F.lit("the sides differ in length")).cast("int"))).drop("__i", "__r", "__l")
+    return both.withColumn("row_number", F.when(F.col("__r").isNotNull() & F.col("__l").isNotNull(), F.col("__i")).otherwise(F.raise_error(F.lit("the sides differ in length")).cast("long"))).drop("__i", "__r", "__l")

@@ -69,19 +69,20 @@ def stage_position(stage: Column, stages: list[str]) -> Column:
 
 def run_checks(samples: DataFrame, judged: DataFrame, tasks: DataFrame, run: str) -> DataFrame:
     """(run, check, violations): tasks without a sample or verdict, unknown tasks, several attempts, and solutions that differ from the judged ones."""
-    runs = samples.select(run).distinct()
-    expected = runs.join(tasks.select("task_id").distinct(), F.lit(True))  # a row per run and task, as many as complete runs have
+    expected = tasks.select("task_id").distinct().count()
     have = samples.groupBy(run, "task_id").agg(F.count("*").alias("n"), F.max("solution").alias("solution"))
     verdicts = judged.groupBy(run, "task_id").agg(F.count("*").alias("m"), F.max("solution").alias("judged_solution"))
-    every = expected.withColumn("known", F.lit(True)).join(have, [run, "task_id"], "full_outer").join(verdicts, [run, "task_id"], "full_outer")
+    known = tasks.select("task_id").distinct().withColumn("known", F.lit(True))
+    every = have.join(verdicts, [run, "task_id"], "full_outer").join(known, "task_id", "left")
+    sampled, judged_too = F.col("n").isNotNull(), F.col("m").isNotNull()
     checks = {
-        "missing_sample": F.col("n").isNull(),
-        "missing_verdict": F.col("m").isNull(),
-        "unknown_task": F.col("known").isNull(),
-        "several_attempts": (F.col("n") > 1) | (F.col("m") > 1),
-        "other_solution": F.col("n").isNotNull() & F.col("m").isNotNull() & ~F.col("solution").eqNullSafe(F.col("judged_solution")),
+        "missing_sample": F.lit(expected) - F.count_if(F.col("known") & sampled),
+        "missing_verdict": F.lit(expected) - F.count_if(F.col("known") & judged_too),
+        "unknown_task": F.count_if(F.col("known").isNull()),
+        "several_attempts": F.count_if((F.col("n") > 1) | (F.col("m") > 1)),
+        "other_solution": F.count_if(sampled & judged_too & ~F.col("solution").eqNullSafe(F.col("judged_solution"))),
     }
-    return every.groupBy(run).agg(*(F.count_if(c).alias(k) for k, c in checks.items())).unpivot([run], list(checks), "check", "violations")
+    return every.groupBy(run).agg(*(c.alias(k) for k, c in checks.items())).unpivot([run], list(checks), "check", "violations")
 
 
 def differing(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,10 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+#: Ranges in which large groups are numbered.
+RANGES = 64
 
 
 def hash_number(text: Column) -> Column:
@@ -35,9 +39,9 @@ def shuffle_key(seed: int, key: str) -> Column:
 def sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k rows without replacement (a top-k by seeded hash); raises while running if there are fewer."""
     picked = df.orderBy(shuffle_key(seed, key), key).limit(k)
-    short = picked.agg(F.count("*").alias("__n"))
-    checked = F.when(F.col("__n") == k, F.lit(True)).otherwise(F.raise_error(F.lit(f"fewer than {k} rows")).cast("boolean"))
-    return picked.join(F.broadcast(short.select(checked.alias("__ok"))), F.col("__ok")).drop("__ok")  # one row
+    n = F.count("*").over(Window.partitionBy(F.lit(0)))  # of at most k rows
+    enough = F.when(n == k, True).otherwise(F.raise_error(F.lit(f"fewer than {k} rows")).cast("boolean"))
+    return picked.withColumn("__ok", enough).where("__ok").drop("__ok")
 
 
 def shuffled(df: DataFrame, key: str, seed: int, position: str = "position", within: str | None = None) -> DataFrame:
@@ -76,13 +80,26 @@ def manifest(df: DataFrame, name: str, seed: int) -> DataFrame:
     return df.agg(F.count("*").alias("available")).select(F.lit(name).alias("name"), "available", F.lit(", ".join(sorted(df.columns))).alias("keys"), F.lit(dataset_seed(seed, name)).alias("seed"))
 
 
-def shuffled_order(df: DataFrame, within: str, order: str, position: str = "row_number") -> DataFrame:
-    """Adds the 1-based place of each row by `order` within each `within`. Rows are counted per range of the order (256 ranges by
-    its quantiles), so that one large group isn't numbered in one task; the order must be a number without nulls."""
-    cuts = df.groupBy(within).agg(F.array_distinct(F.percentile_approx(order, F.array(*(F.lit(i / 256) for i in range(1, 256))), F.lit(10_000))).alias("__cuts"))
-    rows = df.join(cuts, within).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
-    below = rows.groupBy(within, "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(within).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    below = below.select(within, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(within, "__b").orderBy(order)))
-    return ranked.join(below, [within, "__b"]).withColumn(position, F.col("__before") + F.col("__r")).drop("__b", "__r", "__before")
+def ranked(df: DataFrame, within: str, order: str, position: str = "row_number") -> DataFrame:
+    """Adds the 1-based place of each row by `order` within each `within`.
+
+    Rows are counted per range of the order (RANGES ranges by its quantiles), so that one large group isn't numbered in one task.
+    The order must be unique within its group and not null; orders that aren't numbers are ranked per group.
+    """
+    if not isinstance(df.schema[order].dataType, NumericType):
+        return df.withColumn(position, F.row_number().over(Window.partitionBy(within).orderBy(order)))
+    quantiles = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    cuts = df.groupBy(within).agg(F.array_distinct(F.percentile_approx(order, quantiles, F.lit(10_000))).alias("__cuts"))
+    cuts = cuts.withColumnRenamed(within, "__within")
+    rows = df.join(cuts, F.col(within).eqNullSafe(F.col("__within"))).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    below = rows.groupBy("__within", "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__within").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    below = below.select(F.col("__within").alias("__w"), F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    numbered = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__within", "__b").orderBy(order)))
+    joined = numbered.join(below, F.col("__within").eqNullSafe(F.col("__w")) & (F.col("__b") == F.col("__c")))
+    return joined.withColumn(position, F.col("__before") + F.col("__r")).drop("__within", "__b", "__r", "__w", "__c", "__before")
+
+
+def batches(df: DataFrame, order: str, within: str, size: int = 16) -> DataFrame:
+    """Adds `batch`: rows of each `within` in groups of `size` by order, the last one short."""
+    return ranked(df, within, order, "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size)).drop("__n")

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions import training as M
 from ..operators import audit as A
 from ..operators import evaluate as E
+from ..operators import sampling as P
 from .registry import Tables, query
 
 STAGES = ["base", "full_sft", "lora_sft", "dpo", "ppo", "grpo"]
@@ -344,7 +345,7 @@ def pair_loss(t):
 
 @query("s12_11_batches", "SELECT row_id, (row_number() OVER (PARTITION BY split ORDER BY row_id) - 1) // 16 AS batch FROM rl")
 def batches(t):
-    return M.batches(t.rl.select("row_id", "split"), "row_id", 16, "split").select("row_id", "batch")
+    return P.batches(t.rl.select("row_id", "split"), "row_id", "split", 16).select("row_id", "batch")
 
 
 @query("s6_15_integrity", "SELECT 'rl' AS name, count(*) AS rows, count(*) AS locked_rows, 0 AS violations FROM rl")

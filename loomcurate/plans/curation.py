@@ -375,7 +375,7 @@ def missing_ids(t):
 @query("s8_7_tagged_union", "SELECT tab, row_id, row_number() OVER (PARTITION BY tab ORDER BY row_id) AS row_number FROM (SELECT 'rl' AS tab, row_id FROM rl UNION ALL SELECT 'grpo', row_id FROM grpo)")
 def tagged_union(t):
     each = [df.select(F.lit(n).alias("tab"), "row_id") for n, df in (("rl", t.rl), ("grpo", t.grpo))]
-    return P.shuffled_order(each[0].unionByName(each[1]), "tab", "row_id")
+    return P.ranked(each[0].unionByName(each[1]), "tab", "row_id")
 
 
 # ---- scalars

@@ -106,7 +106,7 @@ def test_samples_and_orders(spark):
     e = P.epochs(spark.range(5).withColumnRenamed("id", "k"), "k", 42, 3).collect()
     for n in range(3):
         assert sorted(r.k for r in e if r.epoch == n) == list(range(5)) and sorted(r.position for r in e if r.epoch == n) == list(range(5))
-    n = P.shuffled_order(df.withColumn("g", F.col("k") % 2), "g", "k").collect()
+    n = P.ranked(df.withColumn("g", F.col("k") % 2), "g", "k").collect()
     assert all(r.row_number == r.k // 2 + 1 for r in n)
     assert P.dataset_seed(42, "a") == spark.range(1).select(P.dataset_seed_column(42, F.lit("a"))).first()[0]
 
