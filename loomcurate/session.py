@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,3 +32,10 @@ def drop_written(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now. It does so when the driver collects its garbage, which a driver
+    with a large heap rarely does by itself, while the files fill the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
