@@ -49,10 +49,10 @@ def hamming_radius(similarity: float, bits: int, slack: float = SLACK) -> int:
 
 
 def code_plan(texts: int) -> tuple[int, int]:
-    """(bits, probes) for so many texts. Longer codes meet fewer strangers and need more probes for the same recall (0.98 at
+    """(bits, probes) for so many texts. Longer codes meet fewer strangers and need more probes for the same recall (0.99 at
     the threshold itself); two bits more pay off with every fourfold growth beyond 2^21 texts."""
     bits = min(22, 14 + 2 * max(0, math.ceil((math.log2(max(texts, 1)) - 21) / 2)))
-    return bits, round(192 * 2 ** ((bits - 14) * 0.75))
+    return bits, round(256 * 2 ** ((bits - 14) * 0.75))
 
 
 def name_plan(rows: int) -> tuple[int, int, int]:
