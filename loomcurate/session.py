@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ def drop_written(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now. It does so when the driver collects its garbage, which a driver
-    with a large heap rarely does by itself, while the files fill the executors' disks."""
+    with a large heap rarely does by itself, while the files fill the executors' disks. The pause lets the listeners drop the last step."""
     gc.collect()
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
