@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop_written, written
+from ..session import drop_written, release, written
 from .components import components
 from .shingles import content_key, int_lists, shingle_sets, words
 from .superminhash import band_keys, planes, signatures
@@ -140,14 +140,18 @@ def text_groups(coded: DataFrame, similar: float = SIMILAR) -> DataFrame:
     floor = sketch_floor(similar)
     each = coded.select("k", F.explode("bands").alias("band"))
     buckets = written(each.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n")).where("a < b"), "buckets")
+    release(coded.sparkSession)
     members = written(each.join(buckets.where("n > 2").select("band", "a").hint("shuffle_hash"), "band"), "members")
+    release(coded.sparkSession)
     sketches = coded.select("k", "s0", "s1").distinct()
     first = buckets.select("a", "b").union(members.where("k <> a").select("a", F.col("k").alias("b"))).distinct()
     first = written(_alike(first, sketches, floor), "first")
     needed = first.select(F.col("a").alias("k")).union(first.select("b")).union(members.select("k")).distinct()
     sets = coded.select("k", "shingles").join(needed, "k", "left_semi").groupBy("k").agg(F.first("shingles").alias("shingles"))
     sets = written(sets, "sets")
+    release(coded.sparkSession)
     links = written(_verified(first, sets, similar), "verified")
+    release(coded.sparkSession)
     found = components(links)
 
     crowded = members.select("band", "k").join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
@@ -156,6 +160,7 @@ def text_groups(coded: DataFrame, similar: float = SIMILAR) -> DataFrame:
     parts = crowded.groupBy("band", "c").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
     second = _between(parts, crowded, floor)
     more = written(_verified(second.join(first, ["a", "b"], "left_anti"), sets, similar), "verified")
+    release(coded.sparkSession)
     grouped = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     for table in (buckets, members, first, sets, links, found, crowded, more):  # the result no longer depends on them
         drop_written(table)
