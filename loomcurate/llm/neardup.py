@@ -67,7 +67,7 @@ def _coded(rows: int, bands: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch, at, docs, keys, salts in _batches(batches, 1000):
+        for batch, at, docs, keys, salts in _batches(batches, 500):
             if len(seen) > _SEEN:
                 seen.clear()
             fresh = [j for j, k in enumerate(keys.tolist()) if not (k in seen or seen.add(k))]
