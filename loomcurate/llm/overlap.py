@@ -36,6 +36,8 @@ SHINGLE, SIMILAR, SIMILAR_NAMED = 3, 0.6, 0.35
 SHORT_WORDS, SLACK = 3, 3.4
 NAME_CELLS = 1 << 16
 _SEEN = 200_000
+#: Codes sent in one batch.
+_BATCH_CODES = 4_000_000
 
 
 def cosine_of(similarity: float) -> float:
@@ -99,6 +101,12 @@ def _fresh(batches: Iterator[pa.RecordBatch], tag: Callable[[pa.RecordBatch, int
                 yield batch.take(pa.array([rows[j] for j in keep], pa.int64())), [docs[j] for j in keep], [keys[j] for j in keep]
 
 
+def _portions(at: np.ndarray, codes: int) -> Iterator[np.ndarray]:
+    """Parts of `at` with at most _BATCH_CODES codes, or one row, each."""
+    size = max(1, _BATCH_CODES // codes)
+    return (at[i : i + size] for i in range(0, len(at), size))
+
+
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, docs, keys in _fresh(batches, lambda b, i: 0):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), int_lists(*shingle_sets(docs, SHINGLE))], ["k", "shingles"])
@@ -111,18 +119,16 @@ def _coded(bits: int, probes: int, similarity: float) -> Callable:
             prints = simhash.fingerprints(p)[:, :SHORT_WORDS]
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for side in (False, True):
-                at = np.flatnonzero(held == side)
-                if not len(at):
-                    continue
-                if side:
-                    codes, offsets = simhash.probe_codes(p[at], bits, probes, cosine_of(similarity))
-                else:
-                    codes = simhash.segment_codes(p[at], bits)
-                    codes, offsets = codes.ravel(), np.arange(len(at) + 1) * codes.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys)[at]), pa.array([side] * len(at)), *(pa.array(prints[at, i]) for i in range(SHORT_WORDS)), int_lists(codes.astype(np.int64), offsets)],
-                    ["k", "held_out", *(f"f{i}" for i in range(SHORT_WORDS)), "codes"],
-                )
+                for at in _portions(np.flatnonzero(held == side), probes):
+                    if side:
+                        codes, offsets = simhash.probe_codes(p[at], bits, probes, cosine_of(similarity))
+                    else:
+                        codes = simhash.segment_codes(p[at], bits)
+                        codes, offsets = codes.ravel(), np.arange(len(at) + 1) * codes.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(keys)[at]), pa.array([side] * len(at)), *(pa.array(prints[at, i]) for i in range(SHORT_WORDS)), int_lists(codes.astype(np.int64), offsets)],
+                        ["k", "held_out", *(f"f{i}" for i in range(SHORT_WORDS)), "codes"],
+                    )
 
     return run
 

@@ -5,12 +5,14 @@ each a signed sum over all shingles, and the signs are the fingerprint. Two sets
 probability arccos(c)/pi: 0.23 at Jaccard 0.6, 0.33 at 0.35, about 0.46 for unrelated texts.
 
 Segments of `bits` bits are the join codes. The indexed side stores the code of every segment. The searching side looks up
-the codes within a Hamming radius of 3 over its least certain bits; it ranks all (segment, flips) by their likelihood,
-which follows from the sizes of its own projections, and looks up the best `probes` of them.
+the codes within a Hamming radius of 3 or more over its least certain bits; it ranks all (segment, flips) by their
+likelihood, which follows from the sizes of its own projections, and looks up the best `probes` of them. Radius and bits
+grow with `probes`, so that there are always more candidates than look-ups.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -18,8 +20,9 @@ import numpy as np
 
 WIDTH = 1024
 TABLES = 32
-_FLIPPABLE, _RADIUS = 8, 3
-_SUBSETS = [s for r in range(_RADIUS + 1) for s in itertools.combinations(range(_FLIPPABLE), r)]
+#: Numbers of least certain bits, each with the most flips among them; candidates ranked at a time.
+_REACHES = ((8, 3), (10, 4), (12, 4), (14, 5))
+_RANKED = 4_500_000
 _H32 = np.array([[(-1) ** bin(i & j).count("1") for j in range(32)] for i in range(32)], np.float32)
 _ORDER = np.random.default_rng(20260101).permutation(WIDTH)
 _GRID = np.linspace(0, 8, 2049)
@@ -47,10 +50,26 @@ def segment_codes(p: np.ndarray, bits: int, tables: int = TABLES) -> np.ndarray:
     return parts @ (1 << np.arange(bits)) | (np.arange(tables) << bits)
 
 
+@functools.cache
+def flip_sets(bits: int, probes: int, tables: int = TABLES) -> list[tuple[int, ...]]:
+    """Sets of least certain bits to flip: the first reach that gives 1.4 candidates for each look-up, as far as there are so many."""
+    sets: list[tuple[int, ...]] = []
+    for flippable, radius in _REACHES:
+        sets = [s for r in range(radius + 1) for s in itertools.combinations(range(min(bits, flippable)), r)]
+        if 5 * tables * len(sets) >= 7 * probes:
+            return sets
+    if tables * len(sets) < probes:
+        raise ValueError(f"{probes} look-ups of {bits} bits in {tables} tables, but only {tables * len(sets)} candidates")
+    return sets
+
+
 def probe_codes(p: np.ndarray, bits: int, probes: int, cosine: float, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
     """The likeliest codes of a partner at the given cosine: (codes, offsets) over the documents."""
-    subsets = [s for s in _SUBSETS if all(i < min(bits, _FLIPPABLE) for i in s)]
-    k, n = min(bits, _FLIPPABLE), len(p)
+    subsets = flip_sets(bits, probes, tables)
+    k, n = 1 + max((i for s in subsets for i in s), default=0), len(p)
+    step = max(1, _RANKED // (tables * len(subsets)))
+    if n > step:
+        return np.concatenate([probe_codes(p[i : i + step], bits, probes, cosine, tables)[0] for i in range(0, n, step)]), np.arange(n + 1) * probes
     scale = np.sqrt((p**2).mean(1, keepdims=True)) + 1e-9
     margin = (np.abs(p[:, WIDTH - bits * tables :]) / scale).reshape(n, tables, bits)
     steep = cosine / math.sqrt(1 - cosine * cosine)
@@ -62,8 +81,7 @@ def probe_codes(p: np.ndarray, bits: int, probes: int, cosine: float, tables: in
     odds = np.take_along_axis(odds, least, 2)
     least = 1 << least
     cost = np.stack([base + sum(odds[:, :, i] for i in s) if s else base for s in subsets], 2).reshape(n, -1)
-    take = min(probes, cost.shape[1])
-    best = np.argpartition(cost, take - 1, axis=1)[:, :take]
+    best = np.argpartition(cost, probes - 1, axis=1)[:, :probes]
     flips = np.stack([sum((least[:, :, i] for i in s), np.zeros((n, tables), np.int64)) for s in subsets], 2).reshape(n, -1)
     codes = np.take_along_axis(segment_codes(p, bits, tables), best // len(subsets), 1) ^ np.take_along_axis(flips, best, 1)
-    return codes.ravel(), np.arange(n + 1) * take
+    return codes.ravel(), np.arange(n + 1) * probes

@@ -179,6 +179,46 @@ def test_common_names_are_split_by_codes(spark, monkeypatch):
     assert len(got - want) == 0 and len(want - got) <= 0.02 * len(want)
 
 
+def found_by_codes(size, similarity, pairs, bits, probes, tables=H.TABLES, seed=11):
+    """Share of pairs of sets of `size` shingles, exactly at the similarity, of which one looks up a code of the other."""
+    r = np.random.default_rng(seed)
+    shared = 2 * similarity / (1 + similarity) * size
+    assert abs(shared - round(shared)) < 1e-9
+    sets = [[np.concatenate([s, r.integers(0, 2**31, size - len(s))]) for _ in range(2)] for s in (r.integers(0, 2**31, round(shared)) for _ in range(pairs))]
+    p = H.projections(np.concatenate([x for pair in sets for x in pair]), np.arange(2 * pairs + 1) * size)
+    codes, offsets = H.probe_codes(p[::2], bits, probes, O.cosine_of(similarity), tables)
+    assert offsets.tolist() == [probes * i for i in range(pairs + 1)]
+    return np.mean([np.isin(own, codes[a:b]).any() for own, a, b in zip(H.segment_codes(p[1::2], bits, tables), offsets, offsets[1:])])
+
+
+@pytest.mark.parametrize("rows", [10**6, 10**8, 10**9])
+@pytest.mark.parametrize("size", [8, 60])
+def test_code_plans_are_carried_out_and_hold_their_recall(rows, size):
+    bits, probes = O.code_plan(rows)
+    found = found_by_codes(size, 0.6, 600, bits, probes)
+    assert found >= (0.98 if rows == 10**6 else 0.99)
+
+
+def test_too_many_look_ups_fail():
+    p = H.projections(*S.shingle_sets([[f"w{i}" for i in range(50)]], 3))
+    with pytest.raises(ValueError, match="candidates"):
+        H.probe_codes(p, 4, 32 * 16 + 1, 0.75)
+    codes, _ = H.probe_codes(np.repeat(p, 200, 0), 22, 16384, 0.75)
+    assert len(set(codes[:16384].tolist())) == 16384 and (np.sort(codes.reshape(200, -1), 1) == np.sort(codes[:16384])).all()
+
+
+def test_overlaps_by_the_plan_of_many_rows(spark, monkeypatch):
+    plan = O.code_plan(10**9)
+    monkeypatch.setattr(O, "code_plan", lambda rows: plan)
+    monkeypatch.setattr(O, "_BATCH_CODES", 100_000)
+    r = random.Random(12)
+    bases = [[f"w{r.randrange(4000)}" for _ in range(40)] for _ in range(30)]
+    data = [(i, edited(r, bases[i % 30], r.randrange(4)), None, "train" if i < 90 else "valid") for i in range(120)]
+    want = {(i, j) for (i, a, _, s), (j, b, _, t) in itertools.permutations(data, 2) if s == "valid" and t == "train" and jaccard(grams(a), grams(b)) >= 0.6}
+    got = {(x.held_out_row, x.train_row) for x in O.overlaps(spark.createDataFrame(data, "row_id long, text string, name string, split string")).collect()}
+    assert got == want and want
+
+
 PLAIN = "Sum the list.\n\n**Input:**\nA list.\n\n**Output:**\nThe sum.\n"
 RECORDS = [
     (1, PLAIN, "def f(x):\n    return 1\n"),
