@@ -199,6 +199,13 @@ def test_code_plans_are_carried_out_and_hold_their_recall(rows, size):
     assert found >= (0.98 if rows == 10**6 else 0.99)
 
 
+@pytest.mark.parametrize("rows", [4097, 1 << 20, (1 << 20) + 1, 10**9])
+@pytest.mark.parametrize("size", [27, 108])
+def test_name_plans_hold_their_recall(rows, size):
+    bits, tables, probes = O.name_plan(rows)
+    assert found_by_codes(size, 0.35, 1000, bits, probes, tables) >= 0.993
+
+
 def test_too_many_look_ups_fail():
     p = H.projections(*S.shingle_sets([[f"w{i}" for i in range(50)]], 3))
     with pytest.raises(ValueError, match="candidates"):
