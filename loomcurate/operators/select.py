@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import functools
+import itertools
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..session import drop_written, written
 
-MAX_ROUNDS = 200
+#: Rounds of greedy() after which every other one goes through the first IN_ORDER undecided rows one by one.
+ROUNDS, IN_ORDER = 16, 200_000
 
 
 def first_accepted(df: DataFrame, key: str, order: str, acceptable: Column, rejected_as: str, duplicate_as: str, name: str = "reason") -> DataFrame:
@@ -35,6 +40,28 @@ def capped(df: DataFrame, key: str, order: list[str], cap: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(f"__n <= {cap}").drop("__n")
 
 
+def _in_order(uniques: int, caps: list[int]) -> Callable:
+    """Goes through rows (order, key and whether it is taken of each unique key, key and count of each capped key) one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set] = [set() for _ in range(uniques)]
+        added: list[dict] = [{} for _ in caps]
+        for batch in batches:
+            accepted = []
+            for row in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                keys, taken, counted, counts = row[:uniques], row[uniques : 2 * uniques], row[2 * uniques : 2 * uniques + len(caps)], row[2 * uniques + len(caps) :]
+                ok = not any(taken) and not any(k in s for k, s in zip(keys, seen)) and all(n + a.get(k, 0) < cap for k, n, a, cap in zip(counted, counts, added, caps))
+                if ok:
+                    for k, s in zip(keys, seen):
+                        s.add(k)
+                    for k, a in zip(counted, added):
+                        a[k] = a.get(k, 0) + 1
+                accepted.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(accepted, pa.bool_())], [batch.schema.names[0], "settled"])
+
+    return run
+
+
 def greedy(df: DataFrame, order: str, unique: list[str], caps: dict[str, int] | None = None) -> DataFrame:
     """(order, accepted): the result of going through the rows in order and accepting a row if none of its `unique` keys was
     accepted before and each capped key was accepted fewer than its cap.
@@ -42,13 +69,19 @@ def greedy(df: DataFrame, order: str, unique: list[str], caps: dict[str, int] |
     order must be unique and not null. Null keys equal each other. Works in rounds instead: a row is accepted once it is the
     first undecided row of all its unique keys and among the first of each capped key that still has room; a row is rejected once
     an accepted row before it takes one of its keys. Every round decides at least the first undecided row, and in practice most
-    of them; the rows move as (order, keys) only, in aggregations that combine before the shuffle.
+    of them; the rows move as (order, keys) only, in aggregations that combine before the shuffle. Chains of rows, each of which
+    waits for the one before, would take a round a row: after ROUNDS rounds, every other one has one task go through the first
+    IN_ORDER undecided rows, until all are decided.
     """
     caps = caps or {}
     state = written(df.select(order, *(F.xxhash64(F.col(c)).alias(f"u{i}") for i, c in enumerate(unique)), *(F.xxhash64(F.col(c)).alias(f"c{i}") for i, c in enumerate(caps)), F.lit(None).cast("boolean").alias("accepted")), "greedy")
-    for _ in range(MAX_ROUNDS):
-        if state.where("accepted is null").isEmpty():
+    left = None
+    for turn in itertools.count():
+        before, left = left, state.where("accepted is null").count()
+        if not left:
             return state.select(order, "accepted")
+        if left == before:
+            raise ValueError(f"{order} isn't unique and not null")
         open_rows, taken = state.where("accepted is null"), state.where("accepted")
         marked = state
         for i in range(len(unique)):
@@ -62,13 +95,20 @@ def greedy(df: DataFrame, order: str, unique: list[str], caps: dict[str, int] |
             marked = marked.join(ranked, order, "left")
         every = lambda parts: functools.reduce(lambda a, b: a & b, parts, F.lit(True))
         some = lambda parts: functools.reduce(lambda a, b: a | b, parts, F.lit(False))
-        yes = every([F.col(f"open{i}") == F.col(order) for i in range(len(unique))] + [F.coalesce(F.col(f"r{i}") + F.col(f"n{i}") <= cap, F.lit(False)) for i, cap in enumerate(caps.values())])
-        no = some([F.coalesce(F.col(f"used{i}") < F.col(order), F.lit(False)) for i in range(len(unique))] + [F.col(f"n{i}") >= cap for i, cap in enumerate(caps.values())])
-        decided = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(no, False).when(yes, True)
+        taken_before = [F.coalesce(F.col(f"used{i}") < F.col(order), F.lit(False)) for i in range(len(unique))]
+        if turn >= ROUNDS and (turn - ROUNDS) % 2 == 0:
+            head = marked.where("accepted is null").orderBy(order).limit(IN_ORDER).coalesce(1).sortWithinPartitions(order)
+            head = head.select(order, *(f"u{i}" for i in range(len(unique))), *(x.alias(f"t{i}") for i, x in enumerate(taken_before)), *(f"c{i}" for i in range(len(caps))), *(f"n{i}" for i in range(len(caps))))
+            settled = head.mapInArrow(_in_order(len(unique), list(caps.values())), StructType([StructField(order, df.schema[order].dataType), StructField("settled", BooleanType())]))
+            marked = marked.join(settled, order, "left")
+            decided = F.coalesce("accepted", "settled")
+        else:
+            yes = every([F.col(f"open{i}") == F.col(order) for i in range(len(unique))] + [F.coalesce(F.col(f"r{i}") + F.col(f"n{i}") <= cap, F.lit(False)) for i, cap in enumerate(caps.values())])
+            no = some(taken_before + [F.col(f"n{i}") >= cap for i, cap in enumerate(caps.values())])
+            decided = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(no, False).when(yes, True)
         after = written(marked.select(order, *(f"u{i}" for i in range(len(unique))), *(f"c{i}" for i in range(len(caps))), decided.alias("accepted")), "greedy")
         drop_written(state)
         state = after
-    raise RuntimeError("the greedy selection hasn't settled")
 
 
 def greedy_reasons(df: DataFrame, order: str, unique: dict[str, str], caps: dict[str, tuple[int, str]] | None = None) -> DataFrame:

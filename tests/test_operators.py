@@ -81,6 +81,25 @@ def test_greedy_equals_the_sequential_pass(spark, seed):
     assert {o for o, x in reasons.items() if x is None} == greedy_by_hand(data, 5) and set(reasons.values()) <= {None, "dup_p", "dup_c", "cap"}
 
 
+def test_greedy_decides_long_chains(spark):
+    """Each row waits for the one before: a round decides one row."""
+    data = [(i, f"p{(i + 1) // 2}", f"c{i // 2}", "f") for i in range(600)]
+    df = spark.createDataFrame(data, "ord long, p string, c string, f string")
+    assert {x[0] for x in rows(S.greedy(df, "ord", ["p", "c"]).where("accepted"), "ord")} == greedy_by_hand(data, 600)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_greedy_in_order(spark, monkeypatch, seed):
+    monkeypatch.setattr(S, "ROUNDS", seed)
+    monkeypatch.setattr(S, "IN_ORDER", 25)
+    r = random.Random(seed)
+    data = [(i, f"p{r.randrange(60)}", f"c{(i + 1) // 2}", f"f{r.randrange(4)}") for i in range(150)]
+    df = spark.createDataFrame(r.sample(data, 150), "ord long, p string, c string, f string")
+    assert {x[0] for x in rows(S.greedy(df, "ord", ["p", "c"], {"f": 8}).where("accepted"), "ord")} == greedy_by_hand(data, 8)
+    with pytest.raises(ValueError, match="unique and not null"):
+        S.greedy(df.withColumn("ord", F.lit(None).cast("long")), "ord", ["p"])
+
+
 def test_split_selection_and_caps(spark):
     data = [(i, "valid" if i % 3 == 0 else "train", f"id{i % 11}", f"e{i % 4}") for i in range(40)]
     df = spark.createDataFrame(data, "ord long, split string, id string, entry string")
