@@ -112,8 +112,6 @@ def _plausible_phone(span: str, context: str) -> float:
     d = _digits(span)
     if not 9 <= len(d) <= 15 or len(set(d)) < 3:
         return -1
-    if len(d) >= 13 and luhn(d) and "+" not in span:
-        return -1
     if span[:2] == "00" and len(d) < 11:
         return -1
     return 0.0

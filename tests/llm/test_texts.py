@@ -177,6 +177,14 @@ def test_pii(text, want):
     assert not any(w in redacted for _, w in want) and P.Finder().spans(redacted) == []
 
 
+def test_phones_written_with_00_are_found_whatever_their_digits():
+    finder, r = P.Finder(), random.Random(4)
+    numbers = ["0049 30 " + "".join(r.choices("0123456789", k=8)) for _ in range(300)]
+    assert sum(P.luhn(P._digits(n)) for n in numbers) > 15
+    for text in ("Tel. {}", "bei {} melden"):
+        assert all([(k, t[a:b]) for a, b, k in finder.spans(t)] == [("phone", n)] for n in numbers for t in [text.format(n)])
+
+
 def test_validators():
     assert P.luhn("4539578763621486") and not P.luhn("4539578763621487")
     assert P.mod97("GB82 WEST 1234 5698 7654 32") and not P.mod97("GB82 WEST 1234 5698 7654 33")
