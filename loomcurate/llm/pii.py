@@ -11,8 +11,9 @@ reported once. Existing placeholders such as <EMAIL> or [PHONE] are left alone.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -185,6 +186,14 @@ _LU = re.compile(r"[一-鿿]{2}(?:大道|胡同|路|街|巷|弄)\d{1,5}号?(?:\d
 _CUE_NAME = re.compile(
     r"(?i)(?:attention|attn|contact|author|signed[- ]off[- ]by|reviewe[rd]|with|ask|regards|thanks|filed under|says|user|from|ist|grüßen|hat|mit|merci|avec|à|by|cc|dear|name|yesterday|联系人|收件人|审核)\W{0,4}$"
 )
+# What nearly always stands before a person's name, which is then taken whatever the lists say; words that make it no name.
+_SIGNED = re.compile(
+    rf"(?:(?i:(?:signed[- ]off|reviewed|acked|tested|reported|suggested|co-authored)[- ]by|author|full name|attn|attention|contact(?: person)?|autor|ansprechpartner(?:in)?|kontakt|auteur){_S}?:|(?i:(?:regards|sincerely|grüßen|grüße|cordialement),?)){_S}?"
+    rf"(?P<name>{_MAJOR}(?:\.[ \t]?|{_WORD}[ \t])(?:{_MAJOR}\.?[ \t]|{_MAJOR}{_WORD}[ \t](?={_MAJOR}{_WORD}[ \t]{{0,2}}(?:[\r\n<,(;.]|\Z)))?{_MAJOR}{_WORD}(?:-{_MAJOR}{_WORD})?)(?![\w@])"
+)
+_SIGNED_WORDS = ("ed-by", "ed by", "off-by", "off by", "author", "full name", "full\nname", "attn", "attention", "contact", "autor", "ansprech", "kontakt", "auteur", "regards", "sincerely", "grüss", "cordial")
+_SIGNED_CJK = re.compile(r"(?:联系人|收件人|审核人?|姓名|作者|签名)(?:是|为)?[\s:：]{0,2}(?P<name>[一-鿿]{2,4}?)(?=$|[^一-鿿]|电话|手机|先生|女士|的)")
+_NO_NAME = frozenset("team support group department desk office service services sales list customer help human resources project committee staff admin center centre us me the our your".split())
 
 
 def _family(word: str, endings: tuple[str, ...]) -> bool:
@@ -253,6 +262,18 @@ class Finder:
                     score += 0.1
                 yield start, end, score
 
+    def _signed(self, text: str, low: str) -> Iterator[tuple[int, int]]:
+        """Names after a strong cue."""
+        if not text.isascii():
+            for m in _SIGNED_CJK.finditer(text):
+                yield m.span("name")
+        if any(w in low for w in _SIGNED_WORDS):
+            for m in _SIGNED.finditer(text):
+                start, end = m.span("name")
+                end -= 2 * (m["name"][-2] in "'’" and m["name"][-1] in "sS")
+                if not any(w in _NO_NAME or w in _NO_WORD for w in re.findall(r"\w+", m["name"].casefold())):
+                    yield start, end
+
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """Accepted spans in order, not overlapping."""
         if not text:
@@ -296,7 +317,9 @@ class Finder:
                 propose("street_address", 0.6, _RUE)
             if not text.isascii():
                 propose("street_address", 0.6, _LU)
-        proposals.extend((a, b, "person_name", s) for a, b, s in self._names(text))
+        names = [n for n in self._names(text) if n[2] >= ACCEPT - 1e-9]
+        proposals.extend((a, b, "person_name", s) for a, b, s in names)
+        proposals.extend((a, b, "person_name", 0.6) for a, b in self._signed(text, low) if all(b <= x or y <= a for x, y, _ in names))
         kept: list[tuple[int, int, str]] = []
         order = {t: i for i, t in enumerate(TYPES)}
         for a, b, kind, _ in sorted((p for p in proposals if p[3] >= ACCEPT - 1e-9), key=lambda p: (order[p[2]], p[0] - p[1])):
@@ -314,33 +337,40 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(made) + text[at:]
 
 
-_FINDER: list[Finder] = []
+@functools.cache
+def _finder(given: tuple[str, ...], endings: tuple[str, ...]) -> Finder:
+    return Finder(given, endings)
+
 
+def _found(given: tuple[str, ...], endings: tuple[str, ...]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _finder(given, endings)
+        for batch in batches:
+            rows = [(i, *r) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for r in dict.fromkeys((k, t[a:b]) for a, b, k in finder.spans(t))]
+            columns = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["doc_id", "pii_type", "pii_text"])
 
-def _finder() -> Finder:
-    if not _FINDER:
-        _FINDER.append(Finder())
-    return _FINDER[0]
+    return run
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(i, *r) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for r in dict.fromkeys((k, t[a:b]) for a, b, k in _finder().spans(t))]
-        columns = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["doc_id", "pii_type", "pii_text"])
+def _redacted(given: tuple[str, ...], endings: tuple[str, ...]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _finder(given, endings)
+        for batch in batches:
+            texts = [t if t is None else redact(t, finder.spans(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
+    return run
 
-def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t if t is None else redact(t, _finder().spans(t)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
+def find_pii(documents: DataFrame, given: Sequence[str] = GIVEN, endings: Sequence[str] = FAMILY_ENDINGS) -> DataFrame:
+    """(doc_id, pii_type, pii_text): each distinct span of a type in a document once. documents: doc_id bigint, text string.
 
-def find_pii(documents: DataFrame) -> DataFrame:
-    """(doc_id, pii_type, pii_text): each distinct span of a type in a document once. documents: doc_id bigint, text string."""
-    return documents.select("doc_id", "text").mapInArrow(_found, "doc_id long, pii_type string, pii_text string")
+    given and endings are the given names and the endings of family names that propose names, in lower case.
+    """
+    return documents.select("doc_id", "text").mapInArrow(_found(tuple(given), tuple(endings)), "doc_id long, pii_type string, pii_text string")
 
 
-def redact_pii(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) with typed placeholders; texts without findings, nulls included, come back as they were."""
-    return documents.select("doc_id", "text").mapInArrow(_redacted, "doc_id long, text string")
+def redact_pii(documents: DataFrame, given: Sequence[str] = GIVEN, endings: Sequence[str] = FAMILY_ENDINGS) -> DataFrame:
+    """(doc_id, text) with typed placeholders; texts without findings, nulls included, come back as they were. Lists as in find_pii."""
+    return documents.select("doc_id", "text").mapInArrow(_redacted(tuple(given), tuple(endings)), "doc_id long, text string")

@@ -177,6 +177,29 @@ def test_pii(text, want):
     assert not any(w in redacted for _, w in want) and P.Finder().spans(redacted) == []
 
 
+SIGNED = [
+    ("Signed-off-by: Wilhelmina Garcia <w@x.org>", ["Wilhelmina Garcia"]),
+    ("Author: Zoltan B. Okafor-Reyes's patch", ["Zoltan B. Okafor-Reyes"]),
+    ("Best regards,\nOluwaseun Adeyemi\n", ["Oluwaseun Adeyemi"]),
+    ("Contact: T. Nakamura or Contact: Support Team", ["T. Nakamura"]),
+    ("收件人：王伟，联系人张小明电话", ["王伟", "张小明"]),
+    ("Mit freundlichen Grüßen, Bettina Kestdottir Gestern\nAuthor: Uma Lucia Garcia\nWir", ["Bettina Kestdottir", "Uma Lucia Garcia"]),
+    ("The author wrote Merge Sort; contact The Data Team", []),
+]
+
+
+@pytest.mark.parametrize("text,want", SIGNED)
+def test_strong_cues_propose_names(text, want):
+    assert [text[a:b] for a, b, k in P.Finder().spans(text) if k == "person_name"] == want
+
+
+def test_lists_of_names_are_parameters(spark):
+    df = spark.createDataFrame([(1, "so Oluwaseun Adeyemi said")], "doc_id long, text string")
+    assert P.find_pii(df).count() == 0
+    assert [r.pii_text for r in P.find_pii(df, ["oluwaseun"], ["yemi"]).collect()] == ["Oluwaseun Adeyemi"]
+    assert P.redact_pii(df, ["oluwaseun"], ["yemi"]).first().text == "so <PERSON_NAME> said"
+
+
 def test_phones_written_with_00_are_found_whatever_their_digits():
     finder, r = P.Finder(), random.Random(4)
     numbers = ["0049 30 " + "".join(r.choices("0123456789", k=8)) for _ in range(300)]
