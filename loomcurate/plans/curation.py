@@ -489,7 +489,7 @@ def implementation_key(t):
 
 @query("s10_6_mutations")
 def mutations(t):
-    m = C.mutations_udf(F.col("completion"), P.hash_number(F.coalesce("source_id", F.lit(""))))
+    m = C.mutations_udf(F.col("completion"), P.hash_number(F.coalesce("source_id", F.lit(""))), 6)
     return t.sft.select("row_id", F.posexplode(m).alias("n", "m")).select("row_id", "n", "m.line", "m.column", "m.old", "m.new")
 
 
@@ -497,7 +497,7 @@ def mutations(t):
 def replay(t):
     from ..operators.audit import replays
 
-    m = t.sft.select("completion", "row_id", F.explode(C.mutations_udf(F.col("completion"), F.lit(1))).alias("m"))
+    m = t.sft.select("completion", "row_id", F.explode(C.mutations_udf(F.col("completion"), F.lit(1), 6)).alias("m"))
     return m.groupBy("row_id").agg(F.count("*").alias("mutations"), F.count_if(replays(F.col("completion"), F.col("m.code"), F.col("m.line"), F.col("m.column"), F.col("m.old"), F.col("m.new"))).alias("replayed"))
 
 

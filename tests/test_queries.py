@@ -19,5 +19,12 @@ def test_query(spark, name):
         assert len(set(df.columns)) == len(df.columns) and df.count() >= 0
 
 
+def test_mutations_are_as_many_as_in_the_export(spark, tmp_path):
+    code = "def f(a, b):\n    x = a + b\n    y = a - b\n    if x < y and x > 0:\n        return x * y\n    return True\n"
+    spark.createDataFrame([(1, "s", code)], "row_id long, source_id string, completion string").write.parquet(f"{tmp_path}/sft.parquet")
+    assert entry.queries()["s10_6_mutations"](spark, str(tmp_path)).count() == 6
+    assert [(r.mutations, r.replayed) for r in entry.queries()["s10_7_replay"](spark, str(tmp_path)).collect()] == [(6, 6)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
