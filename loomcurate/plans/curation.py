@@ -3,6 +3,7 @@ and lengths by the same formula on both sides; they stand in for the output of a
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -64,6 +65,13 @@ def fingerprints(t):
     return each[0].unionByName(each[1])
 
 
+@query("s1_9b_fingerprint_values")
+def fingerprint_values(t):
+    """The fingerprints themselves, of every table that a lock binds."""
+    each = [IO.fingerprint(getattr(t, n)).select(F.lit(n).alias("name"), "rows", "fingerprint") for n in ("evaluation", "grpo", "rl", "sft")]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
 @query("s1_13_frozen_tasks", "SELECT suite, task_id, prompt, entry_point FROM evaluation")
 def frozen_tasks(t):
     return IO.frozen_tasks({s: t.evaluation.where(F.col("suite") == s) for s in ("stepwise", "longform")})

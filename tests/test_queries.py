@@ -1,3 +1,5 @@
+import hashlib
+import json
 import os
 
 import pytest
@@ -26,5 +28,19 @@ def test_mutations_are_as_many_as_in_the_export(spark, tmp_path):
     assert [(r.mutations, r.replayed) for r in entry.queries()["s10_7_replay"](spark, str(tmp_path)).collect()] == [(6, 6)]
 
 
+def test_fingerprint_values_equal_brute_force(spark, tmp_path):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    plain = lambda v: "{}" if v is None else json.dumps({"v": v}, separators=(",", ":"), ensure_ascii=False)
+    tables = {"evaluation": [(1, "a"), (2, None)], "grpo": [(1, "a"), (1, "a"), (None, 'q"ö')], "rl": [], "sft": [(1, "b"), (2, None)]}
+    for name, data in tables.items():
+        spark.createDataFrame(data, "z long, b string").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = {}
+    for name, data in tables.items():
+        hashes = [sha("\x1f".join((plain(b), plain(z)))) for z, b in data]
+        want[name] = (len(data), sha(",".join(str(sum(int(h[8 * i : 8 * i + 8], 16) for h in hashes)) for i in range(4))))
+    got = {r["name"]: (r["rows"], r.fingerprint) for r in entry.queries()["s1_9b_fingerprint_values"](spark, str(tmp_path)).collect()}
+    assert got == want and len({f for _, f in got.values()}) == 4
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
