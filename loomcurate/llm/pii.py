@@ -1,7 +1,7 @@
 """Problem 6: personal information in free text: proposals by regular expressions, validators, and nearby context words.
 
 Plan. Each rule proposes spans of one type with a score. A validator (area and length rules of telephone numbers, the check
-digits of national and tax numbers, Luhn and mod 97 against card and account numbers) confirms or refutes the span; words
+digits of national and tax numbers, among them mod 97 and Luhn) confirms or refutes the span; words
 within CONTEXT characters before it (a few after it) raise or lower the score. Spans that reach ACCEPT are kept; of overlapping ones
 the better type and then the longer span stays. One scan of the texts, no shuffle.
 
@@ -146,6 +146,19 @@ def _social(span: str, context: str) -> float:
     return 0.0 if span != d else (0.1 if d[:3] == "666" else -0.2)
 
 
+def _french(span: str, context: str) -> float:
+    """The key of a French social security number: with it the number leaves 0 by 97; Corsican departments count as 19 and 18."""
+    d = re.sub(r"\W", "", span).upper().replace("2A", "19").replace("2B", "18")
+    return 0.4 * ((int(d[:13]) + int(d[13:])) % 97 == 0)
+
+
+def _canadian(span: str, context: str) -> float:
+    """A Canadian social insurance number has a Luhn check digit."""
+    return 0.2 * luhn(_digits(span))
+
+
+_CUE_FRENCH = re.compile(r"(?i)sécu|\bnir\b|\binsee\b|social|assuré")
+_CUE_CANADIAN = re.compile(r"\bSIN\b|(?i:social insurance|assurance sociale)")
 _CUE_PHONE = re.compile(r"(?i)tel|phon|fax|call|mobil|handy|\bcell|text|contact|reach|ruf|nummer|number|appel|joindre|kontakt|erreich|电话|手机|联系|传真")
 _CUE_TAX = re.compile(r"(?i)\btax|steuer|fiscal|\btin\b|\bwants?\b|税|finanz")
 _CUE_SOCIAL = re.compile(r"(?i)\bssn|social|security|\buser\b|birth|member|sozial|sécurité|社保")
@@ -170,6 +183,8 @@ _SOCIAL = re.compile(rf"(?<![\w.+/])(?<!\d{_DASH})(?<!\d )\d{{3}}(?:([^\S\r\n]|[
 _INSURANCE = re.compile(rf"(?i)(?<![\w])[a-z]{{2}}({_SEP}?)\d\d\1\d\d\1\d\d\1?[a-d](?![\w])")
 _TAX = re.compile(r"(?<![\w.+/,-])(?:\d{11}|\d\d([^\S\r\n]|/|-)\d{3}\1\d{3}\1\d{3})(?![\w/]|[.,-]\d)")
 _RESIDENT = re.compile(r"(?<![\w.-])[1-9]\d{16}[\dXx](?![\w-]|\.\d)")
+_FRENCH = re.compile(rf"(?<![\w.+/,-])[12]({_SEP}?)\d\d\1(?:0[1-9]|1[0-2]|[2-9]\d)\1(?:\d\d|2[ABab])\1\d{{3}}\1\d{{3}}{_SEP}?\d\d(?![\w/]|[.,-]\d)")
+_CANADIAN = re.compile(r"(?<![\w.+/,-])(?<!\d )[1-9]\d\d([ -])\d{3}\1\d{3}(?![\w/]|[ .,-]\d)")
 _PASSPORT = re.compile(r"(?<![\w-])[A-Za-z]{1,2}[^\S\r\n]?\d{7}(?![\w-]|\.\d)")
 
 _WORD = r"[^\W\d_]+(?:[’'][^\W\d_]+)?"
@@ -306,6 +321,8 @@ class Finder:
             propose("id_number", 0.5, _SOCIAL, _social, _CUE_SOCIAL, _NOT_PHONE, near)
             propose("id_number", 0.7, _INSURANCE, within=near)
             propose("id_number", 0.2, _TAX, _tax, _CUE_TAX, within=near)
+            propose("id_number", 0.2, _FRENCH, _french, _CUE_FRENCH, within=near)
+            propose("id_number", 0.1, _CANADIAN, _canadian, _CUE_CANADIAN, within=near)
             propose("id_number", 0.4, _RESIDENT, _resident, _CUE_ID, within=near)
             propose("id_number", 0.2, _PASSPORT, None, _CUE_PASS, within=near)
         if _DIGIT.search(text):

@@ -208,6 +208,18 @@ def test_phones_written_with_00_are_found_whatever_their_digits():
         assert all([(k, t[a:b]) for a, b, k in finder.spans(t)] == [("phone", n)] for n in numbers for t in [text.format(n)])
 
 
+def test_numbers_confirmed_by_mod_97_and_luhn():
+    found = lambda t: [(k, t[a:b]) for a, b, k in P.Finder().spans(t)]
+    number = 1850578006084
+    key = 97 - number % 97
+    assert found(f"vu 1 85 05 78 006 084 {key:02}, puis") == [("id_number", f"1 85 05 78 006 084 {key:02}")]
+    assert found(f"vu {number}{key:02}") == [("id_number", f"{number}{key:02}")] and found(f"vu {number}{key % 97 + 1:02}") == []
+    corsica = 97 - 1850519006084 % 97
+    assert found(f"vu 185052A006084{corsica:02}") == [("id_number", f"185052A006084{corsica:02}")]
+    assert found("his SIN: 130 692 544") == [("id_number", "130 692 544")] and found("rows 130 692 544") == []
+    assert found("his SIN: 130 692 545") == []
+
+
 def test_validators():
     assert P.luhn("4539578763621486") and not P.luhn("4539578763621487")
     assert P.mod97("GB82 WEST 1234 5698 7654 32") and not P.mod97("GB82 WEST 1234 5698 7654 33")
