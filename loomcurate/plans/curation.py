@@ -4,7 +4,6 @@ and lengths by the same formula on both sides; they stand in for the output of a
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from ..operators import decontaminate as D
 from ..operators import gates as G
 from ..operators import sampling as P
 from ..operators import select as S
-from ..session import shared_folder
+from ..session import new_path
 from ..sources import tables as IO
 from .registry import Tables, query
 
@@ -38,7 +37,7 @@ def shard_scan(t):
 
 @query("s1_2_jsonl_round_trip", "SELECT row_id, source_id, prompt, len(tests) AS tests, entry_point FROM grpo")
 def jsonl_round_trip(t):
-    path = f"{shared_folder(t.spark).rstrip('/')}/grpo-{uuid.uuid4().hex}.jsonl"
+    path = new_path(t.spark, "grpo-jsonl")
     IO.write_jsonl(t.grpo.select("row_id", "source_id", "prompt", "tests", "entry_point"), path)
     back = IO.read_jsonl(t.spark, path, "row_id long, source_id string, prompt string, tests array<string>, entry_point string")
     return back.select("row_id", "source_id", "prompt", F.when(F.col("tests").isNotNull(), F.size("tests")).alias("tests"), "entry_point")

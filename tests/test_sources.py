@@ -74,3 +74,32 @@ def test_streaming_gates(spark, tmp_path):
     got = spark.read.json(str(tmp_path / "out"))
     assert got.count() == 10 and got.where("reason = 'odd'").count() == waterfall(df, gates).where("reason = 'odd'").count()
     assert S.reasons_by_window(waterfall(df, gates), "at").agg(F.sum("rows")).first()[0] == 10
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from loomcurate import session
+
+    for master, fine in (("local", True), ("local[8]", True), ("local[*, 2]", True), ("local-cluster[3,2,1024]", False), ("yarn", False), ("spark://host:7077", False)):
+        settings = {}
+        one = SimpleNamespace(conf=SimpleNamespace(get=settings.get, set=settings.__setitem__), sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+        if fine:
+            assert session.shared_folder(one) == settings["spark.checkpoint.dir"]
+        else:
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                session.shared_folder(one)
+            settings["spark.checkpoint.dir"] = "hdfs:///shared"
+            assert session.shared_folder(one) == "hdfs:///shared"
+
+
+def test_written_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from loomcurate import session
+
+    table = session.written(spark.range(5), "five")
+    folder = Path(table.inputFiles()[0].removeprefix("file:").replace("//", "")).parent
+    assert table.count() == 5 and folder.exists()
+    session.drop_written(table)
+    assert not folder.exists()
