@@ -101,6 +101,8 @@ def test_leaks_in_blocks_and_of_nothing(spark, monkeypatch):
     items = spark.createDataFrame([(f"t{i}", "write a function that adds two big numbers" if i == 5 else f"other words number {i} in this long item") for i in range(9)], "task_id string, prompt string")
     assert [tuple(r) for r in L.leaks(docs, items).collect()] == [(1, "t5")]
     assert L.leaks(docs, items.limit(0)).count() == 0 and L.leaks(docs.limit(0), items).count() == 0
+    near = spark.createDataFrame([(1, "please write a function that add two big numbers now"), (2, "write a function"), (3, None)], "doc_id long, text string")
+    assert [tuple(r) for r in L.leaks(near, items, edits=1).collect()] == [(1, "t5")]
 
 
 def test_leaks_with_edits(spark):
@@ -110,30 +112,81 @@ def test_leaks_with_edits(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r.doc_id for r in L.leaks(df, items, edits=0).collect()) == [1]
     assert sorted(r.doc_id for r in L.leaks(df, items, edits=2).collect()) == [1, 2, 3]
+    with pytest.raises(ValueError, match="edits"):
+        L.leaks(df, items, edits=99)
 
 
-def levenshtein_within(pattern, text):
-    best = len(pattern)
-    row = [0] * (len(text) + 1)
-    for i, c in enumerate(pattern, 1):
+def test_no_passage_is_put_together_from_two_documents(spark):
+    words = [f"word{i}" for i in range(24)]
+    items = spark.createDataFrame([("long", " ".join(words)), ("short", " ".join(words[:12]) + " more")], "task_id string, prompt string")
+    chunks = [(1, "before " + " ".join(words[:14])), (2, " ".join(words[14:]) + " after"), (3, "x " + " ".join(words[:6])), (4, " ".join(words[6:12]) + " y"), (5, " ".join(words[3:9])), (6, " ".join(words[9:16]))]
+    df = spark.createDataFrame(chunks, "doc_id long, text string").coalesce(1)
+    for edits in (0, 1, 2):
+        got = {tuple(r) for r in L.leaks(df, items, edits).collect()}
+        assert got == {(1, "long"), (1, "short")}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
         new = [i]
-        for j, d in enumerate(text, 1):
+        for j, d in enumerate(b, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
         row = new
-        best = min(row)
-    return best
+    return row[-1]
+
+
+def close(text, items, edits, run=12, least=6):
+    """Items with a passage within the edits of a run of whole words, by trying all of them."""
+    w, found = L.canonical(text), set()
+    for ident, prompt in items:
+        v = L.canonical(prompt)
+        k = min(run, len(v))
+        passages = [" ".join(v[i : i + k]) for i in range(len(v) - k + 1)] if len(v) >= least else []
+        runs = [" ".join(w[i : i + n]) for n in range(max(1, k - edits), k + edits + 1) for i in range(len(w) - n + 1)]
+        if any(abs(len(p) - len(r)) <= edits and distance(p, r) <= edits for p in passages for r in runs if edits or len(p) == len(r)):
+            found.add(ident)
+    return found
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text("ab", min_size=1, max_size=8), st.text("ab", max_size=3), st.text("ab", max_size=3))
-def test_banded_distance_finds_what_is_there(pattern, before, after):
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_leaks_with_edits_equal_brute_force(spark, monkeypatch, edits):
+    monkeypatch.setattr(L, "PART_CHARS", 400)
+    r = random.Random(5 + edits)
+    vocabulary = ["of", "a", "in", "list"] + [f"w{i}" for i in range(30)]
+    items = [(f"t{i}", " ".join(r.choice(vocabulary) for _ in range(r.choice([3, 6, 8, 12, 14, 20])))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = " ".join(r.choice(vocabulary) for _ in range(r.randrange(0, 15)))
+        v = r.choice(items)[1]
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(v))
+            v = r.choice([v[:at] + v[at + 1 :], v[:at] + r.choice("x 1") + v[at:], v[:at] + r.choice("x 1") + v[at + 1 :]])
+        docs.append((i, w + " " + v[r.choice([0, 0, 0, 20]) :] + r.choice([" ", ""]) + w[:9]))
+    want = {(d, t) for d, text in docs for t in close(text, items, edits)}
+    got = {tuple(x) for x in L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "task_id string, prompt string"), edits).collect()}
+    assert got == want and len(want) > 3
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.text("ab ", min_size=1, max_size=9), st.text("ab \0", max_size=12), st.integers(0, 3)), min_size=1, max_size=6), st.integers(0, 3))
+def test_alignment_of_many_equals_plain_distances(cases, edits):
     import numpy as np
 
     raw = lambda s: np.frombuffer(s.encode(), np.uint8)
-    text = before + pattern + after
-    assert L.banded_distance(raw(pattern), raw(text), max(1, len(before))) == 0
-    d = L.banded_distance(raw(pattern), raw(before + after), 3)
-    assert d >= min(4, levenshtein_within(pattern, before + after))
+    text = "\0".join(t for _, t, _ in cases)
+    letters, at, starts, want, size, before = "", [], [], [], 0, 0
+    for pattern, t, shift in cases:
+        shift = min(shift, len(t))
+        at.append(len(letters))
+        letters += pattern
+        starts.append(before + shift)
+        rest = t[shift:].split("\0")[0]
+        ends = [i for i in range(len(rest) + 1) if i == len(rest) or rest[i] == " "]
+        want.append(any(distance(pattern, rest[:i]) <= edits for i in ends))
+        before += len(t) + 1
+    got = L.aligned(raw(letters), np.array(at), np.array([len(p) for p, *_ in cases]), raw(text), np.array(starts), edits)
+    assert got.tolist() == want
 
 
 def test_canonical():
