@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .leakage import leaks
 from .neardup import group_pairs, near_groups
-from .overlap import overlaps
+from .overlap import overlap_counts, overlaps, row_links
 from .packing import fill, pack
 from .pii import find_pii, redact_pii
 from .records import copies, records
@@ -90,13 +90,16 @@ def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Overlapping row pairs per held-out split, source and table of the held-out row, and rows concerned."""
-    rows = _split_rows(spark, folder)
-    held = rows.select(F.col("row_id").alias("held_out_row"), "split", "source")
-    return overlaps(rows).join(held, "held_out_row").groupBy("split", "source").agg(F.count("*").alias("pairs"), F.countDistinct("held_out_row").alias("rows"))
+    """Overlapping row pairs per held-out split and source of the held-out row, and rows concerned."""
+    return overlap_counts(_split_rows(spark, folder), ["split", "source"])
 
 
-_ALL = (p1_found, p1_report, p2_found, p2_records, p3_found, p3_groups, p4_sequences, p4_fill, p5_found, p5_edited, p6_found, p6_redacted)
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row of the three splits of sft and grpo with the class of its text and the number of rows across the split that it overlaps with."""
+    return row_links(_split_rows(spark, folder))
+
+
+_ALL = (p1_found, p1_report, p1_links, p2_found, p2_records, p3_found, p3_groups, p4_sequences, p4_fill, p5_found, p5_edited, p6_found, p6_redacted)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _WORDS = "regexp_extract_all(lower(replace(prompt, 'ß', 'ss')), '[a-z0-9_]+')"
@@ -126,6 +129,10 @@ SQL: dict[str, str] = {
     "p1_found": f"{_P1} SELECT a AS row_a, b AS row_b FROM ({_P1_PAIRS})",
     "p1_report": f"""{_P1}, k AS ({_P1_PAIRS}), t AS (SELECT row_id, split, source FROM sft UNION ALL SELECT row_id, split, source FROM grpo)
 SELECT split, source, count(*) AS pairs, count(DISTINCT row_id) AS rows FROM k JOIN t ON t.row_id IN (k.a, k.b) AND t.split <> 'train' GROUP BY 1, 2""",
+    "p1_links": f"""{_P1}, k AS ({_P1_PAIRS}), l AS (SELECT a AS row_id FROM k UNION ALL SELECT b FROM k),
+t AS (SELECT row_id, prompt FROM sft WHERE split IN ('train', 'valid', 'test') UNION ALL SELECT row_id, prompt FROM grpo WHERE split IN ('train', 'valid', 'test')),
+x AS (SELECT row_id, len({_WORDS}) >= 3 AS long, array_to_string({_WORDS}, ' ') AS w FROM t)
+SELECT row_id, CASE WHEN long THEN min(row_id) OVER (PARTITION BY long, w) ELSE row_id END AS class_id, (SELECT count(*) FROM l WHERE l.row_id = x.row_id) AS links FROM x""",
     "p3_found": f"{_P3} SELECT a AS row_a, b AS row_b FROM reach WHERE a < b",
     "p3_groups": f"""{_P3} SELECT tab AS scope, row_id, coalesce(least(row_id, first), row_id) AS group_id, coalesce(n, 1) AS rows
 FROM (SELECT 'grpo' AS tab, row_id FROM grpo UNION ALL SELECT 'rl', row_id FROM rl) LEFT JOIN (SELECT a AS row_id, min(b) AS first, count(DISTINCT b) AS n FROM reach GROUP BY 1) USING (row_id)""",

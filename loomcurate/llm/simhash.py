@@ -20,6 +20,8 @@ import numpy as np
 
 WIDTH = 1024
 TABLES = 32
+#: Bits at the front of the fingerprint that are compared in full; the segments follow them.
+FIRST = 192
 #: Numbers of least certain bits, each with the most flips among them; candidates ranked at a time.
 _REACHES = ((8, 3), (10, 4), (12, 4), (14, 5))
 _RANKED = 4_500_000
@@ -45,8 +47,8 @@ def fingerprints(p: np.ndarray) -> np.ndarray:
 
 
 def segment_codes(p: np.ndarray, bits: int, tables: int = TABLES) -> np.ndarray:
-    """(documents, tables) join codes. The segments lie at the end of the fingerprint, away from the words compared first."""
-    parts = (p[:, WIDTH - bits * tables :] >= 0).reshape(len(p), tables, bits)
+    """(documents, tables) join codes. The segments follow the words compared first."""
+    parts = (p[:, FIRST : FIRST + bits * tables] >= 0).reshape(len(p), tables, bits)
     return parts @ (1 << np.arange(bits)) | (np.arange(tables) << bits)
 
 
@@ -71,7 +73,7 @@ def probe_codes(p: np.ndarray, bits: int, probes: int, cosine: float, tables: in
     if n > step:
         return np.concatenate([probe_codes(p[i : i + step], bits, probes, cosine, tables)[0] for i in range(0, n, step)]), np.arange(n + 1) * probes
     scale = np.sqrt((p**2).mean(1, keepdims=True)) + 1e-9
-    margin = (np.abs(p[:, WIDTH - bits * tables :]) / scale).reshape(n, tables, bits)
+    margin = (np.abs(p[:, FIRST : FIRST + bits * tables]) / scale).reshape(n, tables, bits)
     steep = cosine / math.sqrt(1 - cosine * cosine)
     flip = np.array([0.5 * math.erfc(steep * m / math.sqrt(2)) for m in _GRID])
     q = np.clip(np.interp(margin, _GRID, flip), 1e-9, 0.5)
