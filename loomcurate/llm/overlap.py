@@ -4,7 +4,7 @@ Plan. One pass over the texts writes, for every row, the 64-bit key of its words
 text's fingerprint (simhash.py) and its shingle set; all later steps read this table. Rows of the training side get one join
 code per fingerprint segment, rows of the held-out side look up their likeliest codes within a Hamming radius. A hash join on
 the codes keeps pairs whose first 192 fingerprint bits are within the Hamming radius of the threshold; the distinct pairs of
-*texts* are then verified on their shingle sets. Copies of a text never meet each other row by row before that: every map
+*texts* are then verified on their shingle sets, of which a bitmap of the pairs' keys holds back the others. Copies of a text never meet each other row by row before that: every map
 task sends a text once, and the pairs are distinct keys.
 
 Records that also share a name need less similarity. Their codes are shorter and hold the name, so that a common name is
@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from ..session import written
 from . import simhash
 from .shingles import content_key, int_lists, shingle_sets, words
+from .sifting import sift
 
 SHINGLE, SIMILAR, SIMILAR_NAMED = 3, 0.6, 0.35
 #: Words of the fingerprint compared in the join, and standard deviations allowed beyond the expected Hamming distance.
@@ -128,9 +129,10 @@ class Texts:
         """The rows of one side that have a key."""
         return self.rows.where((F.col("held_out") == held_out) & F.col("k").isNotNull())
 
-    def sets(self, held_out: bool) -> DataFrame:
-        """(k, shingles) of the distinct texts of one side."""
-        return self.side(held_out).where(F.size("shingles") > 0).groupBy("k").agg(F.first("shingles").alias("shingles"))
+    def sets(self, held_out: bool, keys: DataFrame) -> DataFrame:
+        """(k, shingles) of the distinct texts of one side, of those with these keys at least."""
+        rows = self.side(held_out).where(F.size("shingles") > 0).select("k", "shingles")
+        return sift(rows, "k", keys).groupBy("k").agg(F.first("shingles").alias("shingles"))
 
 
 def _segment(table: int, bits: int) -> Column:
@@ -188,8 +190,9 @@ def alike_texts(texts: Texts) -> DataFrame:
     t = _stored(texts).select(F.col("k").alias("tk"), *(F.col(f).alias(f"t{f}") for f in short), "code")
     distance = functools.reduce(operator.add, (F.bit_count(F.col(f"q{f}").bitwiseXOR(F.col(f"t{f}"))) for f in short))
     radius = F.when(F.col("code").bitwiseAND(F.lit(1)) == 0, hamming_radius(texts.similar, simhash.FIRST)).otherwise(hamming_radius(texts.similar_named, simhash.FIRST))
-    pairs = q.join(t, "code").where(distance <= radius).select("qk", "tk").distinct()
-    both = pairs.join(texts.sets(True).select(F.col("k").alias("qk"), F.col("shingles").alias("qs")), "qk").join(texts.sets(False).select(F.col("k").alias("tk"), F.col("shingles").alias("ts")), "tk")
+    pairs = written(q.join(t, "code").where(distance <= radius).select("qk", "tk").distinct(), "candidates")
+    own = lambda held_out, tag: texts.sets(held_out, pairs.select(f"{tag}k")).select(F.col("k").alias(f"{tag}k"), F.col("shingles").alias(f"{tag}s"))
+    both = pairs.join(own(True, "q"), "qk").join(own(False, "t"), "tk")
     both = both.select("qk", "tk", F.size(F.array_intersect("qs", "ts")).alias("shared"), (F.size("qs") + F.size("ts")).alias("sizes"))
     return both.select("qk", "tk", (F.col("shared") / (F.col("sizes") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= min(texts.similar, texts.similar_named))
 

@@ -298,3 +298,15 @@ def test_a_hot_record_is_split(spark):
     df = spark.range(3000).select(F.col("id").alias("row_id"), F.lit("Sum").alias("prompt"), F.lit("x").alias("completion"))
     assert R.copies(df).count() == 2999 and R.records(df).first().copies == 3000
     assert R._parts(R.encode(df)).count() == R.SALTS
+
+
+def test_sifting_keeps_all_matches(spark):
+    from loomcurate.llm.sifting import sift
+
+    r = random.Random(15)
+    keys = [r.randrange(-(2**63), 2**63) for _ in range(500)] + [None, 0, -1, 2**63 - 1]
+    df = spark.createDataFrame([(k, "x") for k in keys], "k long, __x string")
+    wanted = spark.createDataFrame([(k,) for k in keys[::5]] + [(None,)], "q long")
+    got = {row.k for row in sift(df, "k", wanted).collect()}
+    assert {k for k in keys[::5] if k is not None} <= got and None not in got and len(got) < 110
+    assert {row.k for row in sift(df, "k", wanted, words=1).collect()} >= got and sift(df, "k", wanted.limit(0)).count() == 0
