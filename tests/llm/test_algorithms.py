@@ -310,3 +310,25 @@ def test_sifting_keeps_all_matches(spark):
     got = {row.k for row in sift(df, "k", wanted).collect()}
     assert {k for k in keys[::5] if k is not None} <= got and None not in got and len(got) < 110
     assert {row.k for row in sift(df, "k", wanted, words=1).collect()} >= got and sift(df, "k", wanted.limit(0)).count() == 0
+
+
+def test_the_dictionary_has_an_identifier_per_value(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT", 3)
+    r = random.Random(14)
+    data = [(i, "\n".join(["Sum the list."] + [f"{label}: {r.choice(['yes', 'no', 'a b', 'A-B'])} {r.randrange(9)}" for label in r.sample(["Input", "Output", "Notes"], 3)]), r.choice(["x", "X!", "y"])) for i in range(400)] + [(None, "Sum", "x")]
+    df = spark.createDataFrame(data, "row_id long, prompt string, completion string")
+    want: dict = {}
+    for i, p, c in data:
+        want.setdefault(tuple(sorted((label, R.plain(value)) for label, value in R.fields(p, c))), []).append(i)
+    got = {row.row_id: row.copies for row in R.records(df).collect()}
+    assert got == {ids[0]: len(ids) for ids in want.values()}
+    assert {(row.first, row.row_id) for row in R.copies(df).collect()} == {(ids[0], i) for ids in want.values() for i in ids[1:]}
+    values = {f for fields in want for f in fields}
+    assert len({x for row in R.encode(df).collect() for x in row.record}) == len(values)
+
+
+def test_a_digest_of_two_values_fails(spark):
+    each = spark.createDataFrame([(1, 2, 3), (1, 2, 3), (1, 3, 4)], "d0 long, d1 long, check long")
+    assert sorted((r.d1, r.n) for r in R.dictionary(each).collect()) == [(2, 2), (3, 1)]
+    with pytest.raises(Exception, match="one digest"):
+        R.dictionary(each.union(spark.createDataFrame([(1, 2, 5)], each.schema)))
