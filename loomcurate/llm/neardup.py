@@ -2,13 +2,17 @@
 
 Plan. Texts become content keys (copies share one), SuperMinHash signatures and band keys. Within a band bucket every text
 is first compared only with the bucket's least key, so a bucket costs as many comparisons as it has members; verified links
-are contracted to components. Then, in buckets of three or more, the pairs of *different* components are compared, component
-by component: members already connected are never paired, and no pair that could join two components is left out. A sketch
-of 64 slots filters candidates in the join, the shingle sets verify the rest.
+are contracted to components. Then the members of *different* components that share a bucket are compared: members already
+connected are never paired, and no pair that could join two components is left out. Buckets of more than CROWD members, such
+as those of texts with common boilerplate, would cost the square of their size: their members meet by prefixes instead. In an
+order of shingles from rare to common, two sets of similarity s share one of the first n - s * n + 1 shingles of each, which
+is exact and leaves the boilerplate, the last in that order, out of play. A sketch of 64 slots filters candidates in the join,
+the shingle sets verify the rest.
 
 A band key collides by r slots: bands_for() lengthens the bands as the collection grows and adds bands so that a pair at
-the threshold is found with probability above 0.98. Null texts and texts under three words are in no group of their own
-making: they get a group of one row. Columns other than those named are ignored.
+the threshold is found with probability above 0.99. Null texts and texts under three words are in no group of their own
+making: they get a group of one row. Texts count as equal by 64-bit keys of their words and as similar by 32-bit hashes of
+their shingles. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop_written, release, written
+from ..session import drop_written, written
 from .components import components
 from .shingles import content_key, int_lists, shingle_sets, words
+from .sifting import sift
 from .superminhash import band_keys, planes, signatures
 
 SHINGLE, SIMILAR = 3, 0.6
 SKETCH_SLOTS, SLACK = 64, 3.5
-MISS = 0.013
+MISS = 0.009
+#: Members of a bucket up to which all pairs of its components are compared.
+CROWD = 64
+#: Counters of shingle frequencies, whatever the number of shingles. Any counts give an order; good ones give an efficient one.
+FREQUENCY_CELLS = 1 << 18
 _SEEN = 200_000
 
 
@@ -82,6 +91,7 @@ def _coded(rows: int, bands: int) -> Callable:
                 columns[1][where], columns[2][where] = planes(sig).T
                 counts[where], sizes[where] = bands, np.diff(starts)
                 codes = np.ascontiguousarray(band_keys(sig, rows, salts[fresh])[:, :bands]).ravel()
+                values ^= np.repeat(salts[fresh].astype(np.uint32), np.diff(starts))  # keeps the shingles of different scopes apart
             short = np.ones(batch.num_rows, bool)
             short[at] = False
             offsets = lambda n: np.concatenate([[0], np.cumsum(n)])
@@ -111,12 +121,47 @@ def _alike(pairs: DataFrame, sketches: DataFrame, floor: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(_agree("a0", "a1", "b0", "b1") >= floor).select("a", "b")
 
 
-def _between(parts: DataFrame, members: DataFrame, floor: int) -> DataFrame:
-    """Distinct pairs (a, b) of members of different components in one bucket whose sketches agree in enough slots.
+def _prefixed(counts: np.ndarray, similar: float) -> Callable:
+    """The shingles of which a similar text must share one, rare ones first."""
 
-    parts has a row per bucket and component, with its one member where n = 1. Two such are compared where they meet;
-    larger components are expanded to their members only against other components.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            starts = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy()[starts[0] : starts[-1]]
+            size = np.diff(starts)
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((values, counts[values & (FREQUENCY_CELLS - 1)], owner))
+            rank = np.arange(len(values)) - np.repeat(starts[:-1] - starts[0], size)
+            length = size - np.ceil(similar * size - 1e-9).astype(np.int64) + 1
+            first = rank < np.repeat(np.minimum(length, size), size)
+            kept = np.bincount(owner[first], minlength=len(size))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("k", "c", "s0", "s1")), int_lists(values[order][first].astype(np.int64), np.concatenate([[0], np.cumsum(kept)]))],
+                ["k", "c", "s0", "s1", "prefix"],
+            )
+
+    return run
+
+
+def prefixes(texts: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(band, k, c, s0, s1): texts (k, c, s0, s1) by each shingle of their prefixes. Every two with similar sets share a band."""
+    rows = texts.join(sets, "k")
+    cell = F.col("shingle").bitwiseAND(F.lit(FREQUENCY_CELLS - 1))
+    counts = np.zeros(FREQUENCY_CELLS, np.int64)
+    for at, n in rows.select(F.explode("shingles").alias("shingle")).groupBy(cell.alias("cell")).count().collect():  # at most FREQUENCY_CELLS rows
+        counts[at] = n
+    made = rows.select("k", "c", "s0", "s1", "shingles").mapInArrow(_prefixed(counts, similar), "k long, c long, s0 long, s1 long, prefix array<long>")
+    return made.select(F.explode("prefix").alias("band"), "k", "c", "s0", "s1")
+
+
+def _between(members: DataFrame, floor: int) -> DataFrame:
+    """Distinct pairs (a, b) of members (band, k, c, s0, s1) of different components c in one bucket whose sketches agree in enough slots.
+
+    Components with one member in a bucket are compared where they meet; larger ones are expanded to their members only
+    against other components.
     """
+    parts = members.groupBy("band", "c").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
     side = lambda df, tag: df.select("band", *(F.col(x).alias(f"{tag}{x}") for x in ("c", "k", "s0", "s1")))
     agree = _agree("as0", "as1", "bs0", "bs1") >= floor
     ordered = (F.least("ak", "bk").alias("a"), F.greatest("ak", "bk").alias("b"))
@@ -140,29 +185,26 @@ def text_groups(coded: DataFrame, similar: float = SIMILAR) -> DataFrame:
     floor = sketch_floor(similar)
     each = coded.select("k", F.explode("bands").alias("band"))
     buckets = written(each.groupBy("band").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n")).where("a < b"), "buckets")
-    release(coded.sparkSession)
-    members = written(each.join(buckets.where("n > 2").select("band", "a").hint("shuffle_hash"), "band"), "members")
-    release(coded.sparkSession)
+    several = buckets.where("n > 2").select("band", "a")
+    members = written(sift(each, "band", several.select("band")).join(several, "band").distinct(), "members")
     sketches = coded.select("k", "s0", "s1").distinct()
     first = buckets.select("a", "b").union(members.where("k <> a").select("a", F.col("k").alias("b"))).distinct()
     first = written(_alike(first, sketches, floor), "first")
     needed = first.select(F.col("a").alias("k")).union(first.select("b")).union(members.select("k")).distinct()
-    sets = coded.select("k", "shingles").join(needed, "k", "left_semi").groupBy("k").agg(F.first("shingles").alias("shingles"))
+    sets = sift(coded.select("k", "shingles"), "k", needed).groupBy("k").agg(F.first("shingles").alias("shingles"))
     sets = written(sets, "sets")
-    release(coded.sparkSession)
-    links = written(_verified(first, sets, similar), "verified")
-    release(coded.sparkSession)
-    found = components(links)
-
-    crowded = members.select("band", "k").join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-    mixed = crowded.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    crowded = written(crowded.join(mixed, "band").join(sketches, "k"), "crowded")
-    parts = crowded.groupBy("band", "c").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
-    second = _between(parts, crowded, floor)
-    more = written(_verified(second.join(first, ["a", "b"], "left_anti"), sets, similar), "verified")
-    release(coded.sparkSession)
+    found = components(_verified(first, sets, similar))
+
+    open_rows = members.select("band", "k").join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+    mixed = open_rows.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
+    open_rows = written(open_rows.join(mixed, "band").join(sketches, "k"), "mixed")
+    meeting = open_rows.where(F.col("n") <= CROWD).select("band", "k", "c", "s0", "s1")
+    crowded = open_rows.where(F.col("n") > CROWD).select("k", "c", "s0", "s1").distinct()
+    if not crowded.isEmpty():
+        meeting = meeting.unionByName(prefixes(crowded, sets, similar))
+    more = _verified(_between(meeting, floor).join(first, ["a", "b"], "left_anti"), sets, similar)
     grouped = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    for table in (buckets, members, first, sets, links, found, crowded, more):  # the result no longer depends on them
+    for table in (buckets, members, first, sets, found, open_rows):  # the result no longer depends on them
         drop_written(table)
     return grouped.select(F.col("node").alias("k"), "component")
 

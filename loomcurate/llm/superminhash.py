@@ -13,14 +13,19 @@ import numpy as np
 from .shingles import mix
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-PART = 200_000
+#: Bytes of the permutations worked on at once.
+PART_BYTES = 1 << 25
+
+
+def _ranks(slots: int) -> type:
+    return np.uint8 if slots <= 1 << 8 else np.uint16 if slots <= 1 << 16 else np.uint32
 
 
 def _least(values: np.ndarray, owner: np.ndarray, n: int, slots: int) -> np.ndarray:
     """(n, slots): the least value of each slot over the elements of each owner."""
     seed = mix(values.astype(np.uint64) * _STEP + np.uint64(1))
     least = np.full((n, slots), np.inf)
-    perm = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.int64), (len(values), 1))
+    perm = np.tile(np.arange(slots, dtype=_ranks(slots)), (len(values), 1))
     for j in range(slots):
         draw = mix(seed + np.uint64((j + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
         k = j + ((draw >> np.uint64(40)).astype(np.int64) % (slots - j))
@@ -40,16 +45,18 @@ def _least(values: np.ndarray, owner: np.ndarray, n: int, slots: int) -> np.ndar
 def signatures(values: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarray:
     """(documents, slots) uint64. Equal slots occur with the Jaccard similarity as probability. No document may be empty.
 
-    Works through PART elements at a time, so a very long document takes no more memory than others.
+    Works through so many elements at a time that their permutations take PART_BYTES, so neither a very long document nor a long
+    signature takes more memory than others.
     """
+    part = max(1, PART_BYTES // (slots * np.dtype(_ranks(slots)).itemsize))
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
     least = np.full((n, slots), np.inf)
-    for at in range(0, len(values), PART):
-        mine = owner[at : at + PART]
+    for at in range(0, len(values), part):
+        mine = owner[at : at + part]
         low = mine[0]
         rows = slice(low, mine[-1] + 1)
-        least[rows] = np.minimum(least[rows], _least(values[at : at + PART], mine - low, mine[-1] + 1 - low, slots))
+        least[rows] = np.minimum(least[rows], _least(values[at : at + part], mine - low, mine[-1] + 1 - low, slots))
     return mix(least.view(np.uint64))
 
 
