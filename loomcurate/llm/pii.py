@@ -1,9 +1,13 @@
 """Problem 6: personal information in free text: proposals by regular expressions, validators, and nearby context words.
 
-Plan. Each rule proposes spans of one type with a score. A validator (area and length rules of telephone numbers, the check
-digits of national and tax numbers, among them mod 97 and Luhn) confirms or refutes the span; words
-within CONTEXT characters before it (a few after it) raise or lower the score. Spans that reach ACCEPT are kept; of overlapping ones
-the better type and then the longer span stays. One scan of the texts, no shuffle.
+Plan. Each rule proposes spans of one type with a score. A validator (mod 97 for bank accounts and French social numbers, Luhn for
+payment cards and Canadian social numbers, the check digits of tax and resident numbers, area and length rules of telephone
+numbers) confirms or refutes the span; words within CONTEXT characters before it (a few after it) raise or lower the score. Spans
+that reach ACCEPT are kept; of overlapping ones the better type and then the longer span stays. One scan of the texts, no shuffle.
+
+Names are pairs of words whose evidence adds up: a given name of a list, the ending of the family name, capitals, what stands
+before (titles, greetings, `Author:`) or after them (`said`), and a neighbour in an enumeration that is a name. Words that the same
+text has in lower case, and words that form like ordinary ones, are no evidence.
 
 Null and blank texts hold nothing and stay as they are. Every occurrence is replaced; a span found twice in a document is
 reported once. Existing placeholders such as <EMAIL> or [PHONE] are left alone. Texts are processed whole.
@@ -19,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ACCEPT, CONTEXT = 0.5, 48
-TYPES = ("email", "id_number", "phone", "street_address", "person_name")
-PLACEHOLDERS = {"email": "<EMAIL>", "id_number": "<ID_NUMBER>", "phone": "<PHONE>", "street_address": "<STREET_ADDRESS>", "person_name": "<PERSON_NAME>"}
+TYPES = ("email", "bank_account", "payment_card", "id_number", "phone", "street_address", "person_name")
+PLACEHOLDERS = {"email": "<EMAIL>", "bank_account": "<BANK_ACCOUNT>", "payment_card": "<PAYMENT_CARD>", "id_number": "<ID_NUMBER>", "phone": "<PHONE>", "street_address": "<STREET_ADDRESS>", "person_name": "<PERSON_NAME>"}
 
 # Given names that start a person's name (extend by parameter for other corpora).
 GIVEN = (
@@ -29,7 +33,9 @@ GIVEN = (
     "halina hannah hans heinrich helen henry ibrahim imani ines ingrid isabel ismet jack james jan jane jessica john jolanda jonas jose joseph juan julia jurek "
     "karen karl kasimir katherine kevin kofi laura leonie lin linda linh lisa lucas luis maria marie marla mark martin mary mattis mehmet michael ming mohammed nadja "
     "nancy nina noor odile olga oskar pablo patricia paul pedro peter petra pierre priya quirin rafaela rachel ravi rebecca richard robert rosalie ruth salome samuel "
-    "sandra sarah simon sophie stefan stephen sunniva susan tamsin thomas tobin ulrik verena victor walter wanda wei william xenia yusra yusuf zelda"
+    "sandra sarah simon sophie stefan stephen sunniva susan tamsin thomas tobin ulrik verena victor walter wanda wei william xenia yusra yusuf zelda "
+    "ahmed aiko arjun astrid ava carmen deepak diego dmitri elif emil fatou giulia hassan hiroshi igor ivan kenji lars leila liam luca mateo mia mina natalia noah "
+    "olivia omar priyanka rahul sanjay sean sofia sven tariq yuki"
 ).split()
 # Endings of family names.
 FAMILY_ENDINGS = (
@@ -42,7 +48,12 @@ DOUBLE_FAMILY = "欧阳 太史 端木 上官 司马 东方 独孤 南宫 万俟
 SPELLED_TOP = "com org net edu gov io de fr cn uk eu us ch at co info dev ai app example test invalid localhost".split()
 STREETS = "street st lane ln close road rd avenue ave boulevard blvd drive dr court ct way place terrace square crescent row walk gardens".split()
 
-_NO_WORD = frozenset("and or the a an of to for with from by on in at is was are were has had says wrote und oder der die das et ou le la les de du und".split())
+# Words that are no part of a name, in the languages of the rules.
+_NO_WORD = frozenset("and or the a an of to for with from by on in at is was are were has had says wrote und oder der die das et ou le la les de du".split())
+_FUNCTION = frozenset(
+    "as if so he she it we they you but not no yes when where what why how who which this that these those there here then than all any both each every some please also only just our your my his her its their "
+    "im am als wenn aber nicht ein eine wir ihr sie mit von auf für bei zu un une des au aux dans pour par sur avec que qui ne pas nous vous il elle ils".split()
+)
 _S = r"(?:[^\S\r\n]{1,4}|[^\S\r\n]?\r?\n[^\S\r\n]{0,4})"  # space within a name or address
 _DASH = r"[-‐‑–−]"
 
@@ -157,11 +168,24 @@ def _canadian(span: str, context: str) -> float:
     return 0.2 * luhn(_digits(span))
 
 
+def _account(span: str, context: str) -> float:
+    """Only mod 97 makes an account number of it."""
+    return 0.0 if 15 <= len(re.sub(r"\W", "", span)) <= 34 and mod97(span) else -1
+
+
+def _card(span: str, context: str) -> float:
+    """Only Luhn makes a card number of it; digits in groups as on a card are likelier one than a plain run."""
+    d = _digits(span)
+    return (0.3 if d != span else 0.0) if 13 <= len(d) <= 19 and len(set(d)) > 1 and luhn(d) else -1
+
+
+_CUE_CARD = re.compile(r"(?i)card|visa|master|amex|karte|carte|credit|debit|卡")
 _CUE_FRENCH = re.compile(r"(?i)sécu|\bnir\b|\binsee\b|social|assuré")
 _CUE_CANADIAN = re.compile(r"\bSIN\b|(?i:social insurance|assurance sociale)")
 _CUE_PHONE = re.compile(r"(?i)tel|phon|fax|call|mobil|handy|\bcell|text|contact|reach|ruf|nummer|number|appel|joindre|kontakt|erreich|电话|手机|联系|传真")
-_CUE_TAX = re.compile(r"(?i)\btax|steuer|fiscal|\btin\b|\bwants?\b|税|finanz")
-_CUE_SOCIAL = re.compile(r"(?i)\bssn|social|security|\buser\b|birth|member|sozial|sécurité|社保")
+# A bare number of this form is also what somebody is asked for.
+_CUE_TAX = re.compile(r"(?i)\btax|steuer|fiscal|\btin\b|税|finanz|\b(?:want|need|require|request|demand|quote|state|enter|provide)(?:s|ed)?\b")
+_CUE_SOCIAL = re.compile(r"(?i)\bssn|social|security|birth|member|sozial|sécurité|社保")
 _CUE_PASS = re.compile(r"(?i)pass(?:port|eport|nummer|\b)|reisepass|护照|travel doc")
 _CUE_ID = re.compile(r"(?i)national|identi|ausweis|身份|证|\bid\b|delete|personal")
 _NOT_PHONE = re.compile(r"(?i)(?:version|build|seed|hash|ticket|model|array|id|batch|step|wait|shape|run|issue|line|offset|commit|checksums?)[^a-z0-9]{0,4}$")
@@ -185,6 +209,8 @@ _TAX = re.compile(r"(?<![\w.+/,-])(?:\d{11}|\d\d([^\S\r\n]|/|-)\d{3}\1\d{3}\1\d{
 _RESIDENT = re.compile(r"(?<![\w.-])[1-9]\d{16}[\dXx](?![\w-]|\.\d)")
 _FRENCH = re.compile(rf"(?<![\w.+/,-])[12]({_SEP}?)\d\d\1(?:0[1-9]|1[0-2]|[2-9]\d)\1(?:\d\d|2[ABab])\1\d{{3}}\1\d{{3}}{_SEP}?\d\d(?![\w/]|[.,-]\d)")
 _CANADIAN = re.compile(r"(?<![\w.+/,-])(?<!\d )[1-9]\d\d([ -])\d{3}\1\d{3}(?![\w/]|[ .,-]\d)")
+_ACCOUNT = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,4})?(?![\w-])")
+_CARD = re.compile(r"(?<![\w.+/-])(?<!\d )[2-6](?:\d{12,18}|\d{3}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{3}([ -])\d{6}\2\d{4,5})(?![\w/-]|[ .,]\d)")
 _PASSPORT = re.compile(r"(?<![\w-])[A-Za-z]{1,2}[^\S\r\n]?\d{7}(?![\w-]|\.\d)")
 
 _WORD = r"[^\W\d_]+(?:[’'][^\W\d_]+)?"
@@ -199,8 +225,20 @@ _RUE = re.compile(rf"(?i)(?<![\w])\d{{1,4}}(?:[^\S\r\n]?(?:bis|ter|quater))?,?{_
 _LU = re.compile(r"[一-鿿]{2}(?:大道|胡同|路|街|巷|弄)\d{1,5}号?(?:\d+(?:栋|单元|室|楼))*(?<=[号栋元室楼])")
 
 _CUE_NAME = re.compile(
-    r"(?i)(?:attention|attn|contact|author|signed[- ]off[- ]by|reviewe[rd]|with|ask|regards|thanks|filed under|says|user|from|ist|grüßen|hat|mit|merci|avec|à|by|cc|dear|name|yesterday|联系人|收件人|审核)\W{0,4}$"
+    r"(?i)(?:attention|attn|contact|author|signed[- ]off[- ]by|reviewe[rd]|with|ask|regards|thanks|filed under|says|from|ist|grüßen|hat|mit|merci|avec|à|by|cc|dear|name|联系人|收件人|审核)\W{0,4}$"
+)
+# A pair of capitalised words, what introduces a person, what a person does, and what joins one name to the next.
+_NAME_WORD = rf"{_MAJOR}(?:[’'])?(?:{_MAJOR})?[a-zß-ÿā-ž]+(?:[’'-]{_MAJOR}?[a-zß-ÿā-ž]+|{_MAJOR}[a-zß-ÿā-ž]+)*"
+_PAIR = rf"(?P<name>(?P<a>{_NAME_WORD})[ \t](?:{_MAJOR}\.[ \t])?(?P<b>{_NAME_WORD}))(?![\w@]|[’'](?![sS]\b)|[ \t]{_MAJOR})"
+_INTRODUCED = re.compile(
+    rf"(?<![\w.])(?:(?i:contact|ask|tell|call|ping|dear|hi|hello|hey|thanks to|thank you|met|meet|invite|(?:mr|mrs|ms|dr|prof|mme)\.?|herr|frau|madame|monsieur|bonjour|hallo|liebe[rs]?),?)[ \t]{{1,2}}(?:(?i:mr|mrs|ms|dr|prof)\.?[ \t])?{_PAIR}"
 )
+_TOLD = re.compile(rf"(?<![\w@.+/-]){_PAIR}[ \t](?=(?:said|wrote|asked|replied|told|confirmed|emailed|lives|sagte|schrieb|fragte)\b)")
+_NEXT = re.compile(rf"(?:,|,?[ \t](?:and|or|und|oder|et|ou|&))[ \t]{_PAIR}")
+_BEFORE = re.compile(rf"(?<![\w@.+/-]){_PAIR}(?:,|,?[ \t](?:and|or|und|oder|et|ou|&))[ \t]\Z")
+_ORDINARY = re.compile(r"(?:ing|tion|sion|ment|ness|able|ible|ally|ward|less|ful|ance|ence|ism|ity|ware|base|list|map|tree|sort|search|value|error|type|ung|heit|keit|schaft|lich|ique|eur|tique)s?\Z")
+_CJK_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾萧田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严武戴"
+_CJK_PERSON = re.compile(rf"(?:(?:联系|感谢|询问|请|与)(?P<x>[{_CJK_FAMILY}][一-鿿]{{1,2}}?)(?=说|表示|先生|女士|老师|经理|工程师))|(?<![一-鿿])(?P<y>[{_CJK_FAMILY}][一-鿿]{{1,2}})(?=先生|女士|老师|经理|工程师)")
 # What nearly always stands before a person's name, which is then taken whatever the lists say; words that make it no name.
 _SIGNED = re.compile(
     rf"(?:(?i:(?:signed[- ]off|reviewed|acked|tested|reported|suggested|co-authored)[- ]by|author|full name|attn|attention|contact(?: person)?|autor|ansprechpartner(?:in)?|kontakt|auteur){_S}?:|(?i:(?:regards|sincerely|grüßen|grüße|cordialement),?)){_S}?"
@@ -208,7 +246,9 @@ _SIGNED = re.compile(
 )
 _SIGNED_WORDS = ("ed-by", "ed by", "off-by", "off by", "author", "full name", "full\nname", "attn", "attention", "contact", "autor", "ansprech", "kontakt", "auteur", "regards", "sincerely", "grüss", "cordial")
 _SIGNED_CJK = re.compile(r"(?:联系人|收件人|审核人?|姓名|作者|签名)(?:是|为)?[\s:：]{0,2}(?P<name>[一-鿿]{2,4}?)(?=$|[^一-鿿]|电话|手机|先生|女士|的)")
-_NO_NAME = frozenset("team support group department desk office service services sales list customer help human resources project committee staff admin center centre us me the our your".split())
+_NO_NAME = frozenset("team support group department desk office service services sales list customer help human resources project committee staff admin center centre us me the our your "
+    "bank company inc ltd gmbh corp institute university school college council ministry agency foundation society union club board platform data system systems server cluster "
+    "engine cloud world global national international open source north south east west street road city county state new".split())
 
 
 def _family(word: str, endings: tuple[str, ...]) -> bool:
@@ -230,52 +270,88 @@ class Finder:
         self.trailing = re.compile(rf"(?i)(?P<family>[^\W\d_]{{3,}}(?:{tail})),?{_S}(?P<initial>[^\W\d_])\.(?!\w)")
         self.initial = re.compile(rf"(?i)(?<![\w@.+/-])(?P<initial>[^\W\d_])\.{_S}?{middle}\Z")
         self.double = re.compile(rf"(?:{'|'.join(DOUBLE_FAMILY)})[一-鿿]{{2}}")
-        self.kinds: dict[str, int] = {}
-
-    def _kind(self, word: str) -> int:
-        """1: a given name, 2: ends like a family name, 0: neither."""
-        if len(self.kinds) > 300_000:
-            self.kinds.clear()
+        self.known: set[str] = set()
+        self.telling: set[str] = set()
+
+    def _seen(self, words: set[str]) -> set[str]:
+        """Those of the words that a name may have: given names and words with the ending of a family name."""
+        if len(self.known) > 300_000:
+            self.known.clear()
+            self.telling.clear()
+        for word in words - self.known:
+            self.known.add(word)
+            low = word.casefold()
+            if low in self.given or _family(low, self.endings):
+                self.telling.add(word)
+        return words & self.telling
+
+    def _plain(self, word: str, words: set[str]) -> bool:
+        """Whether a capitalised word is an ordinary one: it stands in lower case in the same text, or is formed like one."""
         low = word.casefold()
-        kind = self.kinds[word] = 1 if low in self.given else 2 if _family(low, self.endings) else 0
-        return kind
-
-    def _names(self, text: str) -> Iterator[tuple[int, int, float]]:
-        if not text.isascii():
-            for m in self.double.finditer(text):
-                yield m.start(), m.end(), 0.6
-        kinds = self.kinds
-        for word in _LETTERS.finditer(text):
-            w = word[0]
-            kind = kinds.get(w)
-            if kind is None:
-                kind = self._kind(w)
-            if not kind:
-                continue
-            at = word.start()
-            free = at == 0 or not _GLUE.match(text[at - 1])
-            found: list[tuple[re.Match, int, int, float]] = []
-            if kind == 1 and free and (m := self.forward.match(text, at)):
-                found.append((m, m.start(), m.end(), 0.3))
-            if kind == 2:
-                if free and (m := self.backward.match(text, at)):
-                    found.append((m, m.start(), m.end(), 0.4))
-                elif free and (m := self.trailing.match(text, at)):
-                    found.append((m, m.start(), m.end(), 0.0))
-                if at and not text[at - 1].isalnum() and (m := self.initial.search(text[max(0, at - 12) : at])) and not _GLUED.match(text, word.end()):
-                    found.append((m, max(0, at - 12) + m.start(), word.end(), 0.1))
-            for m, start, end, score in found:
-                family = m.groupdict().get("family") or w
-                if family[-2:-1] in ("'", "’") and family[-1] in "sS":
-                    family, end = family[:-2], end - 2
-                if family.casefold() in _NO_WORD or family.casefold() in self.given:
+        return low not in self.given and (low in words or low in _NO_WORD or low in _FUNCTION or low in _NO_NAME or bool(_ORDINARY.search(low)))
+
+    def _listed(self, text: str, words: set[str]) -> Iterator[tuple[int, int, float]]:
+        """Names that the lists propose."""
+        for w in self._seen(words):
+            given, at, low = w.casefold() in self.given, -1, w.casefold()
+            while (at := text.find(w, at + 1)) >= 0:
+                if (at and text[at - 1].isalpha()) or text[at + len(w) : at + len(w) + 1].isalpha():
                     continue
-                score += 0.3 * _family(family, self.endings) + 0.1 * family[:1].isupper()
-                if "initial" in m.re.groupindex:
-                    score += 0.1 * m["initial"].isupper()
-                if _CUE_NAME.search(text, max(0, start - 24), start):
-                    score += 0.1
-                yield start, end, score
+                free, end_of_word = at == 0 or not _GLUE.match(text[at - 1]), at + len(w)
+                found: list[tuple[re.Match, int, int, float]] = []
+                if given and free and (m := self.forward.match(text, at)):
+                    found.append((m, m.start(), m.end(), 0.3))
+                if not given:
+                    if free and (m := self.backward.match(text, at)):
+                        found.append((m, m.start(), m.end(), 0.4))
+                    elif free and (m := self.trailing.match(text, at)):
+                        found.append((m, m.start(), m.end(), 0.0))
+                    if at and not text[at - 1].isalnum() and (m := self.initial.search(text[max(0, at - 12) : at])) and not _GLUED.match(text, end_of_word):
+                        found.append((m, max(0, at - 12) + m.start(), end_of_word, 0.1))
+                for m, start, end, score in found:
+                    family = m.groupdict().get("family") or w
+                    if family[-2:-1] in ("'", "’") and family[-1] in "sS":
+                        family, end = family[:-2], end - 2
+                    if family.casefold() in _NO_WORD or family.casefold() in self.given:
+                        continue
+                    score += 0.3 * _family(family, self.endings) + 0.1 * family[:1].isupper()
+                    if "initial" in m.re.groupindex:
+                        score += 0.1 * m["initial"].isupper()
+                    elif given and w[0].isupper() and w[1:].islower() and low not in words and family[:1].isupper() and not family.isupper() and not self._plain(family, words):
+                        score += 0.1
+                    if _CUE_NAME.search(text, max(0, start - 24), start):
+                        score += 0.1
+                    yield start, end, score
+
+    def _names(self, text: str) -> list[tuple[int, int, float]]:
+        """Proposed names with their scores."""
+        words = set(_LETTERS.findall(text))
+        made = list(self._listed(text, words))
+        if not text.isascii():
+            made += [(m.start(), m.end(), 0.6) for m in self.double.finditer(text)]
+            made += [(*m.span(m.lastgroup), 0.5) for m in _CJK_PERSON.finditer(text)]
+
+        todo = [n[:2] for n in made if n[2] >= ACCEPT - 1e-9]
+        taken = set(todo)
+
+        def propose(m: re.Match, shift: int = 0) -> None:
+            """Takes a pair without a word of the lists, unless it is ordinary words or overlaps with a name."""
+            a, b = m.start("name") + shift, m.end("name") + shift
+            if not (self._plain(m["a"], words) or self._plain(m["b"], words) or any(a < y and x < b for x, y in taken)):
+                taken.add((a, b))
+                todo.append((a, b))
+                made.append((a, b, 0.5))
+
+        for rule in (_INTRODUCED, _TOLD):
+            for m in rule.finditer(text):
+                propose(m)
+        while todo:  # names beside names
+            start, end = todo.pop()
+            if m := _NEXT.match(text, end):
+                propose(m)
+            if m := _BEFORE.search(text[max(0, start - 60) : start]):
+                propose(m, max(0, start - 60))
+        return made
 
     def _signed(self, text: str, low: str) -> Iterator[tuple[int, int]]:
         """Names after a strong cue."""
@@ -315,6 +391,8 @@ class Finder:
         runs = [m.span() for m in _DIGITS.finditer(text)]
         if runs:
             near = _windows(runs, 8, 8, len(text))
+            propose("bank_account", 0.9, _ACCOUNT, _account, within=_windows(runs, 12, 40, len(text)))
+            propose("payment_card", 0.3, _CARD, _card, _CUE_CARD, within=near)
             propose("phone", 0.7, _INTERNATIONAL, _plausible_phone, _CUE_PHONE, within=near)
             propose("phone", 0.6, _AMERICAN, _plausible_phone, _CUE_PHONE, _NOT_PHONE, near)
             propose("phone", 0.6, _TRUNK, _national, _CUE_PHONE, _NOT_PHONE, near)
@@ -359,11 +437,11 @@ def _finder(given: tuple[str, ...], endings: tuple[str, ...]) -> Finder:
     return Finder(given, endings)
 
 
-def _found(given: tuple[str, ...], endings: tuple[str, ...]) -> Callable:
+def _found(given: tuple[str, ...], endings: tuple[str, ...], types: frozenset[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(given, endings)
         for batch in batches:
-            rows = [(i, *r) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for r in dict.fromkeys((k, t[a:b]) for a, b, k in finder.spans(t))]
+            rows = [(i, *r) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for r in dict.fromkeys((k, t[a:b]) for a, b, k in finder.spans(t) if k in types)]
             columns = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["doc_id", "pii_type", "pii_text"])
 
@@ -380,12 +458,12 @@ def _redacted(given: tuple[str, ...], endings: tuple[str, ...]) -> Callable:
     return run
 
 
-def find_pii(documents: DataFrame, given: Sequence[str] = GIVEN, endings: Sequence[str] = FAMILY_ENDINGS) -> DataFrame:
+def find_pii(documents: DataFrame, given: Sequence[str] = GIVEN, endings: Sequence[str] = FAMILY_ENDINGS, types: Sequence[str] = TYPES) -> DataFrame:
     """(doc_id, pii_type, pii_text): each distinct span of a type in a document once. documents: doc_id bigint, text string.
 
-    given and endings are the given names and the endings of family names that propose names, in lower case.
+    given and endings are the given names and the endings of family names that propose names, in lower case; types are those reported.
     """
-    return documents.select("doc_id", "text").mapInArrow(_found(tuple(given), tuple(endings)), "doc_id long, pii_type string, pii_text string")
+    return documents.select("doc_id", "text").mapInArrow(_found(tuple(given), tuple(endings), frozenset(types)), "doc_id long, pii_type string, pii_text string")
 
 
 def redact_pii(documents: DataFrame, given: Sequence[str] = GIVEN, endings: Sequence[str] = FAMILY_ENDINGS) -> DataFrame:
