@@ -222,6 +222,10 @@ _STREET = re.compile(
 )
 _STRASSE = re.compile(rf"(?i)\b{_MAJOR}[^\W\d_]*(?:[^\W\d_]|-)(?:stra(?:ß|ss)e|str\.|weg|platz|allee|gasse|damm|ufer){_S}\d{{1,4}}(?:[^\S\r\n]?[a-z]\b(?!{_S}[a-z]))?(?![\w])")
 _RUE = re.compile(rf"(?i)(?<![\w])\d{{1,4}}(?:[^\S\r\n]?(?:bis|ter|quater))?,?{_S}(?:rue|avenue|chemin|boulevard|place|impasse|allée|quai|route){_S}(?:de la |du |des |de l[’']|de |d[’'])?{_MAJOR}{_WORD}(?:-{_WORD})*")
+# Where the words of streets stand; addresses are looked for around them.
+_STREET_WORD = re.compile("(?<!\\w)(?:" + "|".join(f"{w[0].upper()}(?i:{w[1:]})" for w in sorted(STREETS, key=len, reverse=True)) + ")(?!\\w)")
+_STRASSE_WORD = re.compile(r"(?:strasse|str\.|weg|platz|allee|gasse|damm|ufer)(?=\s{1,6}\d)")
+_RUE_WORD = re.compile(r"(?:rue|avenue|chemin|boulevard|place|impasse|allée|quai|route)(?=\s)")
 _LU = re.compile(r"[一-鿿]{2}(?:大道|胡同|路|街|巷|弄)\d{1,5}号?(?:\d+(?:栋|单元|室|楼))*(?<=[号栋元室楼])")
 
 _CUE_NAME = re.compile(
@@ -230,10 +234,11 @@ _CUE_NAME = re.compile(
 # A pair of capitalised words, what introduces a person, what a person does, and what joins one name to the next.
 _NAME_WORD = rf"{_MAJOR}(?:[’'])?(?:{_MAJOR})?[a-zß-ÿā-ž]+(?:[’'-]{_MAJOR}?[a-zß-ÿā-ž]+|{_MAJOR}[a-zß-ÿā-ž]+)*"
 _PAIR = rf"(?P<name>(?P<a>{_NAME_WORD})[ \t](?:{_MAJOR}\.[ \t])?(?P<b>{_NAME_WORD}))(?![\w@]|[’'](?![sS]\b)|[ \t]{_MAJOR})"
-_INTRODUCED = re.compile(
-    rf"(?<![\w.])(?:(?i:contact|ask|tell|call|ping|dear|hi|hello|hey|thanks to|thank you|met|meet|invite|(?:mr|mrs|ms|dr|prof|mme)\.?|herr|frau|madame|monsieur|bonjour|hallo|liebe[rs]?),?)[ \t]{{1,2}}(?:(?i:mr|mrs|ms|dr|prof)\.?[ \t])?{_PAIR}"
+_PAIRS = re.compile(rf"(?<![\w@.+/-]){_PAIR}")
+_LEAD = re.compile(
+    r"(?<![\w.])(?i:contact|ask|tell|call|ping|dear|hi|hello|hey|thanks to|thank you|met|meet|invite|(?:mr|mrs|ms|dr|prof|mme)\.?|herr|frau|madame|monsieur|bonjour|hallo|liebe[rs]?),?[ \t]{1,2}(?:(?i:mr|mrs|ms|dr|prof)\.?[ \t])?\Z"
 )
-_TOLD = re.compile(rf"(?<![\w@.+/-]){_PAIR}[ \t](?=(?:said|wrote|asked|replied|told|confirmed|emailed|lives|sagte|schrieb|fragte)\b)")
+_SAYS = re.compile(r"[ \t](?:said|wrote|asked|replied|told|confirmed|emailed|lives|sagte|schrieb|fragte)\b")
 _NEXT = re.compile(rf"(?:,|,?[ \t](?:and|or|und|oder|et|ou|&))[ \t]{_PAIR}")
 _BEFORE = re.compile(rf"(?<![\w@.+/-]){_PAIR}(?:,|,?[ \t](?:and|or|und|oder|et|ou|&))[ \t]\Z")
 _ORDINARY = re.compile(r"(?:ing|tion|sion|ment|ness|able|ible|ally|ward|less|ful|ance|ence|ism|ity|ware|base|list|map|tree|sort|search|value|error|type|ung|heit|keit|schaft|lich|ique|eur|tique)s?\Z")
@@ -342,8 +347,9 @@ class Finder:
                 todo.append((a, b))
                 made.append((a, b, 0.5))
 
-        for rule in (_INTRODUCED, _TOLD):
-            for m in rule.finditer(text):
+        for m in _PAIRS.finditer(text):
+            start = m.start("name")
+            if _SAYS.match(text, m.end("name")) or (start and text[start - 1] in " \t" and _LEAD.search(text, max(0, start - 24), start)):
                 propose(m)
         while todo:  # names beside names
             start, end = todo.pop()
@@ -404,12 +410,12 @@ class Finder:
             propose("id_number", 0.4, _RESIDENT, _resident, _CUE_ID, within=near)
             propose("id_number", 0.2, _PASSPORT, None, _CUE_PASS, within=near)
         if _DIGIT.search(text):
-            if any(s in low for s in STREETS):
-                propose("street_address", 0.6, _STREET)
-            if any(s in low for s in ("strasse", "str.", "weg", "platz", "allee", "gasse", "damm", "ufer")):
-                propose("street_address", 0.6, _STRASSE)
-            if any(s in low for s in ("rue", "avenue", "chemin", "boulevard", "place", "impasse", "allée", "quai", "route")):
-                propose("street_address", 0.6, _RUE)
+            lower = low if len(low) == len(text) else None  # else letters were folded into several, and places differ
+            for rule, word, there, before, after in ((_STREET, _STREET_WORD, text, 160, 60), (_STRASSE, _STRASSE_WORD, lower, 80, 20), (_RUE, _RUE_WORD, lower, 40, 160)):
+                if there is None:
+                    propose("street_address", 0.6, rule)
+                elif found := [m.span() for m in word.finditer(there)]:
+                    propose("street_address", 0.6, rule, within=_windows(found, before, after, len(text)))
             if not text.isascii():
                 propose("street_address", 0.6, _LU)
         names = [n for n in self._names(text) if n[2] >= ACCEPT - 1e-9]
