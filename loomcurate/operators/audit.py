@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import beside, earlier_ranges, in_ranges, sample
+
 
 def checked_score(score: Column) -> Column:
     """The score; raises while running unless it is a number in [0, 1]."""
@@ -64,14 +66,50 @@ def audit_counts(df: DataFrame, by: str, mutants: str = "mutants", reasons: str
     return df.groupBy(by).agg(F.count("*").alias("checked"), F.count_if(F.size(reasons) == 0).alias("accepted"), F.sum(F.size(mutants)).alias("mutants_executed"), F.sum(failed).alias("mutants_failed"), F.count_if(F.size(mutants) == 0).alias("without_mutation"))
 
 
+def reexecuted(df: DataFrame, key: str, seed: int, n: int, scorer: Callable[[list[str], list[list[str]]], list[float]], code: str, tests: str, stated: str) -> DataFrame:
+    """(key, stated, score, matched) of n rows sampled by seed: whether a new run of the scorer gives the stated score again.
+
+    Raises if there are fewer than n rows. A null stated score never matches.
+    """
+    scored = score_with(sample(df.select(key, code, tests, stated), key, n, seed), scorer, code, tests)
+    return scored.select(key, stated, "score", F.coalesce(F.col(stated) == F.col("score"), F.lit(False)).alias("matched"))
+
+
+def flattened(df: DataFrame, key: str, tests: str) -> DataFrame:
+    """(key, at, test): one row per test of a batch, for scorers that take single tests. Null and empty lists give none."""
+    return df.select(key, F.posexplode(tests).alias("at", "test"))
+
+
+def regrouped(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values): the rows of flattened() back as lists in their order, each as long as its batch was."""
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.col(value).alias("v")))).alias("all")).select(key, F.col("all.v").alias("values"))
+
+
 def distribution(df: DataFrame, value: Column) -> DataFrame:
     """(value, rows)."""
     return df.groupBy(value.alias("value")).agg(F.count("*").alias("rows"))
 
 
 def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by..., least, median, greatest) of the values that aren't null; the median is exact."""
-    return df.groupBy(*by).agg(F.min(value).alias("least"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("greatest"))
+    """(by..., least, median, greatest) of the values that aren't null, for groups that have any; the median is exact.
+
+    Approximate quantiles bracket the median of each group; rows below the bracket are counted and only those inside it are ranked,
+    so that no task sorts or keeps a whole group.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    around = F.percentile_approx("__v", F.array(F.lit(0.49), F.lit(0.51)), F.lit(10_000))
+    groups = rows.groupBy(*by).agg(F.min("__v").alias("least"), F.max("__v").alias("greatest"), F.count("*").alias("__n"), around.alias("__q"))
+    same = lambda other: [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in by]
+    tagged = lambda d, tag: d.withColumnsRenamed({c: f"{tag}{c}" for c in by})
+    placed = rows.join(tagged(groups.select(*by, "__q"), "__g_"), same("__g_")).drop(*(f"__g_{c}" for c in by))
+    below = placed.groupBy(*by).agg(F.count_if(F.col("__v") < F.col("__q")[0]).alias("__below"))
+    inside = placed.where(F.col("__v").between(F.col("__q")[0], F.col("__q")[1])).select(*by, "__v")
+    ranks = inside.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__v")))
+    all_of = groups.join(tagged(below, "__b_"), same("__b_")).drop(*(f"__b_{c}" for c in by))
+    ranks = ranks.join(tagged(all_of.select(*by, "__n", "__below"), "__r_"), same("__r_"))
+    middle = ranks.where((F.col("__r") + F.col("__below")).isin(F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)))
+    medians = tagged(middle.groupBy(*by).agg(F.avg("__v").alias("median")), "__m_")
+    return groups.join(medians, same("__m_")).select(*by, "least", "median", "greatest")
 
 
 def duplicate_count(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -100,11 +138,14 @@ def replays(original: Column, changed: Column, line: Column, column: Column, old
 
 
 def best_so_far(df: DataFrame, order: str, value: str, within: str) -> DataFrame:
-    """Adds `best`, the greatest value up to each row, and `improved`, whether the row raised it."""
-    w = Window.partitionBy(within).orderBy(order)
-    until = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    earlier = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("best", until).withColumn("improved", earlier.isNull() | (F.col(value) > earlier))
+    """Adds `best`, the greatest value up to each row, and `improved`, whether the row raised it. A long run is worked on in ranges."""
+    rows = in_ranges(df, within, order)
+    per = rows.groupBy(within, "__b").agg(F.max(value).alias("__m"))
+    rows = beside(rows, per.select(within, "__b", F.max("__m").over(earlier_ranges(within)).alias("__past")), within)
+    w = Window.partitionBy(within, "__b").orderBy(order)
+    until = F.greatest("__past", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = F.greatest("__past", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.withColumn("best", until).withColumn("improved", earlier.isNull() | (F.col(value) > earlier)).drop("__b", "__past")
 
 
 def checkpoint_of_best(df: DataFrame, run: str, step: str, value: str) -> DataFrame:
@@ -124,7 +165,10 @@ def rollout_tallies(df: DataFrame, run: str, group: str, reward: str, truncated:
 
 
 def running_tallies(df: DataFrame, run: str, group: str, reward: str) -> DataFrame:
-    """(run, group, zero_variance_so_far, effective_so_far): the tallies after each group, in order."""
-    per = df.groupBy(run, group).agg((F.max(reward) - F.min(reward)).alias("range"))
-    w = Window.partitionBy(run).orderBy(group).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(run, group, F.count_if(F.col("range") == 0).over(w).alias("zero_variance_so_far"), F.count_if(F.col("range") > 0).over(w).alias("effective_so_far"))
+    """(run, group, zero_variance_so_far, effective_so_far): the tallies after each group, in order. A long run is worked on in ranges."""
+    per = in_ranges(df.groupBy(run, group).agg((F.max(reward) - F.min(reward)).alias("range")), run, group)
+    kinds = {"zero_variance_so_far": F.col("range") == 0, "effective_so_far": F.col("range") > 0}
+    sums = per.groupBy(run, "__b").agg(*(F.count_if(c).alias(f"__{k}") for k, c in kinds.items()))
+    past = sums.select(run, "__b", *(F.coalesce(F.sum(f"__{k}").over(earlier_ranges(run)), F.lit(0)).alias(f"__{k}") for k in kinds))
+    w = Window.partitionBy(run, "__b").orderBy(group).rowsBetween(Window.unboundedPreceding, 0)
+    return beside(per, past, run).select(run, group, *((F.col(f"__{k}") + F.count_if(c).over(w)).alias(k) for k, c in kinds.items()))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +14,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
+from ..session import written
 from .sampling import ranked
 
 LONGEST, SHORTEST = 12, 6
 WORD = re.compile("[a-z0-9_]+")
-#: Grams of the held-out side go to the executors only up to so many (about 1 kB each).
-BROADCAST_GRAMS = 100_000
+#: Grams of the held-out side go to the executors only up to so many (about 1 kB each); of more, a bitmap of 2^SIEVE_BITS bits (8 MB).
+BROADCAST_GRAMS, SIEVE_BITS = 100_000, 26
 
 
 def held_out_grams(tasks: DataFrame, prompt: str = "prompt") -> DataFrame:
@@ -50,24 +53,83 @@ def _scan(grams: frozenset[tuple[str, ...]], kind: pa.DataType, name: str) -> Ca
     return run
 
 
+def _run_hashes(words: list[list[str]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of every run of n words."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(words)), size)
+    flat = np.fromiter((_WORDS[w] for text in words for w in text), np.uint64, int(size.sum()))
+    m = len(flat) - n + 1
+    if m <= 0:
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+    h = np.full(m, n, np.uint64)
+    for i in range(n):
+        h = (h ^ flat[i : m + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    at = np.flatnonzero(owner[:m] == owner[n - 1 :])
+    return owner[at], at - (np.cumsum(size) - size)[owner[at]], h[at]
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return value
+
+
+_WORDS = _WordHashes()
+
+
+def _hashed_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [g.split(" ") for g in batch.column(0).to_pylist()]
+        cells = [int(_run_hashes([w], len(w))[2][0] >> np.uint64(64 - SIEVE_BITS)) for w in words]
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64())], ["cell"])
+
+
+def _suspects(bits: np.ndarray, sizes: list[int], kind: pa.DataType, name: str) -> Callable:
+    """(key, gram) of the runs of words whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [WORD.findall(t.casefold()) if t else [] for t in batch.column(1).to_pylist()]
+            rows, grams = [], []
+            for n in sizes:
+                text, place, h = _run_hashes(words, n)
+                cell = (h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+                hit = np.flatnonzero(bits[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1))
+                rows += text[hit].tolist()
+                grams += [" ".join(words[t][p : p + n]) for t, p in zip(text[hit].tolist(), place[hit].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())).cast(kind), pa.array(grams, pa.string())], [name, "gram"])
+
+    return run
+
+
 def overlapping(df: DataFrame, key: str, text: str, tasks: DataFrame, prompt: str = "prompt") -> DataFrame:
     """The distinct keys of rows whose text holds a gram of a task. Null and short texts never do.
 
-    Up to BROADCAST_GRAMS grams go to the executors, which scan the texts once and shuffle only the keys found. More grams are
-    joined: both sides are shuffled by gram; explode_outer keeps Spark from repeating the tokenizer in an inferred filter.
+    Up to BROADCAST_GRAMS grams go to the executors, which scan the texts once and shuffle only the keys found. Of more grams a bitmap
+    of fixed size goes there; runs of words, of the lengths that occur, are hashed, and those whose bit is set are joined with the
+    grams themselves.
     """
     grams = held_out_grams(tasks, prompt)
     few = grams.limit(BROADCAST_GRAMS + 1).collect()  # bounded
     if not few:
         return df.select(key).limit(0)
+    field = df.schema[key]
+    kind = to_arrow_type(field.dataType)
     if len(few) <= BROADCAST_GRAMS:
-        field = df.schema[key]
-        scan = _scan(frozenset(tuple(r["gram"].split(" ")) for r in few), to_arrow_type(field.dataType), key)
+        scan = _scan(frozenset(tuple(r["gram"].split(" ")) for r in few), kind, key)
         return df.select(key, text).mapInArrow(scan, T.StructType([T.StructField(key, field.dataType)])).distinct()
-    tokens = df.select(key, X.words(F.col(text)).alias("t"))
-    each = F.flatten(F.array(*(X.ngrams(F.col("t"), n) for n in range(SHORTEST, LONGEST + 1))))
-    rows = tokens.select(key, F.explode_outer(each).alias("gram")).where("gram is not null")
-    return rows.join(grams.select("gram").distinct(), "gram", "left_semi").select(key).distinct()
+    grams = written(grams, "grams")
+    sizes = sorted(r["n"] for r in grams.select("n").distinct().collect())  # SHORTEST to LONGEST
+    bits = np.zeros(1 << SIEVE_BITS - 6, np.uint64)
+    cells = grams.select("gram").mapInArrow(_hashed_grams, "cell long")
+    words = cells.groupBy(F.shiftright("cell", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
+    for w, b in words.collect():  # at most 2^(SIEVE_BITS - 6) rows
+        bits[w] = np.int64(b).astype(np.uint64)
+    suspects = df.select(key, text).mapInArrow(_suspects(bits, sizes, kind, key), T.StructType([T.StructField(key, field.dataType), T.StructField("gram", T.StringType())]))
+    return suspects.distinct().join(grams.select("gram").distinct(), "gram", "left_semi").select(key).distinct()
 
 
 def named_like(df: DataFrame, key: str, names: Column, tasks: DataFrame, entry_point: str = "entry_point") -> DataFrame:

@@ -67,22 +67,79 @@ def stage_position(stage: Column, stages: list[str]) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, stages)), stage), F.lit(0))
 
 
-def run_checks(samples: DataFrame, judged: DataFrame, tasks: DataFrame, run: str) -> DataFrame:
-    """(run, check, violations): tasks without a sample or verdict, unknown tasks, several attempts, and solutions that differ from the judged ones."""
+def _solutions(df: DataFrame, run: str, tag: str) -> DataFrame:
+    """(run, task_id, count, digest): the digest is the same for the same solutions, nulls included, in any order."""
+    digest = F.sum(F.xxhash64(F.coalesce("solution", F.lit("\0null")), F.length("solution")).cast("decimal(38,0)"))
+    return df.groupBy(run, "task_id").agg(F.count("*").alias(f"n_{tag}"), digest.alias(f"digest_{tag}"))
+
+
+def run_checks(samples: DataFrame, judged: DataFrame, tasks: DataFrame, run: str, runs: list | None = None) -> DataFrame:
+    """(run, check, violations): tasks without a sample or verdict, unknown tasks, several attempts, and tasks whose solutions, all
+    attempts of each side together, differ from the judged ones. runs: those that must be there, so that one without any sample shows."""
     expected = tasks.select("task_id").distinct().count()
-    have = samples.groupBy(run, "task_id").agg(F.count("*").alias("n"), F.max("solution").alias("solution"))
-    verdicts = judged.groupBy(run, "task_id").agg(F.count("*").alias("m"), F.max("solution").alias("judged_solution"))
     known = tasks.select("task_id").distinct().withColumn("known", F.lit(True))
-    every = have.join(verdicts, [run, "task_id"], "full_outer").join(known, "task_id", "left")
-    sampled, judged_too = F.col("n").isNotNull(), F.col("m").isNotNull()
+    every = _solutions(samples, run, "sampled").join(_solutions(judged, run, "judged"), [run, "task_id"], "full_outer").join(known, "task_id", "left")
+    sampled, judged_too = F.col("n_sampled").isNotNull(), F.col("n_judged").isNotNull()
     checks = {
         "missing_sample": F.lit(expected) - F.count_if(F.col("known") & sampled),
         "missing_verdict": F.lit(expected) - F.count_if(F.col("known") & judged_too),
         "unknown_task": F.count_if(F.col("known").isNull()),
-        "several_attempts": F.count_if((F.col("n") > 1) | (F.col("m") > 1)),
-        "other_solution": F.count_if(sampled & judged_too & ~F.col("solution").eqNullSafe(F.col("judged_solution"))),
+        "several_attempts": F.count_if((F.col("n_sampled") > 1) | (F.col("n_judged") > 1)),
+        "other_solution": F.count_if(sampled & judged_too & ~F.col("digest_sampled").eqNullSafe(F.col("digest_judged"))),
     }
-    return every.groupBy(run).agg(*(c.alias(k) for k, c in checks.items())).unpivot([run], list(checks), "check", "violations")
+    found = every.groupBy(run).agg(*(c.alias(k) for k, c in checks.items()))
+    if runs is not None:
+        blank = {k: expected if k.startswith("missing") else 0 for k in checks}
+        found = tasks.sparkSession.createDataFrame([(r,) for r in runs], f"{run} {samples.schema[run].dataType.simpleString()}").join(found, run, "full_outer").fillna(blank)
+    return found.unpivot([run], list(checks), "check", "violations")
+
+
+#: The decoding that runs must share to be compared.
+GREEDY = {"do_sample": False, "max_new_tokens": 512}
+
+
+def record_checks(configs: DataFrame, summaries: DataFrame, counts: DataFrame, evaluation_hash: str, run: str, generation: dict[str, object] = GREEDY) -> DataFrame:
+    """(run, check, violations) of the records of runs.
+
+    configs: a row per run with stage, eval_sha256, limit_per_suite (null: none) and the fields of `generation`. summaries: a row per run
+    and suite with stage, eval_sha256, passed, total and pass_at_1. counts: passed and total per run and suite, counted from the
+    verdicts. Checks: the stage isn't the run's in either record; the evaluation isn't the stated one; the run is limited or decodes
+    in another way; passed, total or their quotient differ from the counts, or one side lacks the suite. Runs that any of the three
+    has are checked; a missing record violates its checks.
+    """
+    everywhere = configs.select(run).union(summaries.select(run)).union(counts.select(run)).distinct()
+    differs = lambda c, v: ~F.col(c).eqNullSafe(v)
+    other_decoding = F.lit(False)
+    for field, value in generation.items():
+        other_decoding = other_decoding | differs(field, F.lit(value))
+    c = everywhere.join(configs.withColumn("__there", F.lit(True)), run, "left")
+    no_record = F.col("__there").isNull()
+    config = c.groupBy(run).agg(
+        F.count_if(no_record | differs("stage", F.col(run))).alias("config_stage"),
+        F.count_if(no_record | differs("eval_sha256", F.lit(evaluation_hash))).alias("config_evaluation"),
+        F.count_if(no_record | F.col("limit_per_suite").isNotNull()).alias("limited"),
+        F.count_if(no_record | other_decoding).alias("decoding"),
+    )
+    recount = counts.select(run, "suite", F.col("passed").alias("__p"), F.col("total").alias("__t"), F.lit(True).alias("__counted"))
+    s = everywhere.join(summaries.withColumn("__there", F.lit(True)).join(recount, [run, "suite"], "full_outer"), run, "left")
+    no_side = no_record | F.col("__counted").isNull()
+    summary = s.groupBy(run).agg(
+        F.count_if(no_record | differs("stage", F.col(run))).alias("summary_stage"),
+        F.count_if(no_record | differs("eval_sha256", F.lit(evaluation_hash))).alias("summary_evaluation"),
+        F.count_if(no_side | differs("passed", F.col("__p"))).alias("passed"),
+        F.count_if(no_side | differs("total", F.col("__t"))).alias("total"),
+        F.count_if(no_side | differs("pass_at_1", F.try_divide("__p", "__t"))).alias("pass_at_1"),
+    )
+    both = config.join(summary, run)
+    return both.unpivot([run], [x for x in both.columns if x != run], "check", "violations")
+
+
+def comparison_violations(runs: DataFrame, run: str, required: list[str]) -> DataFrame:
+    """(run, rows) of stages that a comparison has more than once or, with 0 rows, lacks. runs: one row per run compared."""
+    have = runs.groupBy(run).agg(F.count("*").alias("rows"))
+    must = runs.sparkSession.createDataFrame([(r,) for r in required], f"{run} string").withColumn("__must", F.lit(True))
+    every = have.join(must, run, "full_outer").select(run, F.coalesce("rows", F.lit(0)).alias("rows"), "__must")
+    return every.where((F.col("rows") > 1) | (F.col("__must") & (F.col("rows") == 0))).drop("__must")
 
 
 def differing(df: DataFrame, columns: list[str]) -> DataFrame:

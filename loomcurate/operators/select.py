@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..session import drop_written, written
+from ..sources.tables import DataError
+from .sampling import first_rows
 
 #: Rounds of greedy() after which every other one goes through the first IN_ORDER undecided rows one by one.
 ROUNDS, IN_ORDER = 16, 200_000
+#: Tables of accepted rows, one a round, before they become one.
+PARTS = 8
 
 
 def first_accepted(df: DataFrame, key: str, order: str, acceptable: Column, rejected_as: str, duplicate_as: str, name: str = "reason") -> DataFrame:
     """Adds a reason: duplicates are judged against the first *acceptable* row of their key, so a rejected first row shadows nothing.
 
-    Null keys are one key. Ties of the order are duplicates of none.
+    Null keys are one key. Ties of the order are duplicates of none. Both sides of the join work out df, so keys that take long
+    to work out should be written first.
     """
     ok = F.coalesce(acceptable, F.lit(False))
     firsts = df.groupBy(key).agg(F.min(F.when(ok, F.col(order))).alias("__first"))
@@ -41,7 +46,7 @@ def capped(df: DataFrame, key: str, order: list[str], cap: int) -> DataFrame:
 
 
 def _in_order(uniques: int, caps: list[int]) -> Callable:
-    """Goes through rows (order, key and whether it is taken of each unique key, key and count of each capped key) one by one."""
+    """Goes through rows (order, unique keys, capped keys, counts of the capped keys) one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[set] = [set() for _ in range(uniques)]
@@ -49,8 +54,8 @@ def _in_order(uniques: int, caps: list[int]) -> Callable:
         for batch in batches:
             accepted = []
             for row in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                keys, taken, counted, counts = row[:uniques], row[uniques : 2 * uniques], row[2 * uniques : 2 * uniques + len(caps)], row[2 * uniques + len(caps) :]
-                ok = not any(taken) and not any(k in s for k, s in zip(keys, seen)) and all(n + a.get(k, 0) < cap for k, n, a, cap in zip(counted, counts, added, caps))
+                keys, counted, counts = row[:uniques], row[uniques : uniques + len(caps)], row[uniques + len(caps) :]
+                ok = not any(k in s for k, s in zip(keys, seen)) and all(n + a.get(k, 0) < cap for k, n, a, cap in zip(counted, counts, added, caps))
                 if ok:
                     for k, s in zip(keys, seen):
                         s.add(k)
@@ -62,53 +67,71 @@ def _in_order(uniques: int, caps: list[int]) -> Callable:
     return run
 
 
+def _digest(key: Column) -> Column:
+    """128 bits for a key of any kind; null is a key of its own."""
+    return F.coalesce(F.unhex(F.md5(F.to_json(F.struct(key.alias("k"))))), F.lit(b""))
+
+
 def greedy(df: DataFrame, order: str, unique: list[str], caps: dict[str, int] | None = None) -> DataFrame:
     """(order, accepted): the result of going through the rows in order and accepting a row if none of its `unique` keys was
     accepted before and each capped key was accepted fewer than its cap.
 
     order must be unique and not null. Null keys equal each other. Works in rounds instead: a row is accepted once it is the
-    first undecided row of all its unique keys and among the first of each capped key that still has room; a row is rejected once
-    an accepted row before it takes one of its keys. Every round decides at least the first undecided row, and in practice most
-    of them; the rows move as (order, keys) only, in aggregations that combine before the shuffle. Chains of rows, each of which
-    waits for the one before, would take a round a row: after ROUNDS rounds, every other one has one task go through the first
-    IN_ORDER undecided rows, until all are decided.
+    first undecided row of all its unique keys and among the first of each capped key that still has room; the rows that share
+    a key with it, and those of capped keys without room, are rejected and leave. Every round decides at least the first
+    undecided row, and in practice most of them; a round handles undecided rows only, as (order, digests of the keys), in
+    aggregations that combine before the shuffle. Chains of rows, each of which waits for the one before, would take a round a
+    row: after ROUNDS rounds, every other one has one task go through the first IN_ORDER undecided rows, until all are decided.
     """
     caps = caps or {}
-    state = written(df.select(order, *(F.xxhash64(F.col(c)).alias(f"u{i}") for i, c in enumerate(unique)), *(F.xxhash64(F.col(c)).alias(f"c{i}") for i, c in enumerate(caps)), F.lit(None).cast("boolean").alias("accepted")), "greedy")
-    left = None
+    us, cs = [f"u{i}" for i in range(len(unique))], [f"c{i}" for i in range(len(caps))]
+    rows = written(df.select(order, *(_digest(F.col(k)).alias(u) for k, u in zip(unique, us)), *(_digest(F.col(k)).alias(c) for k, c in zip(caps, cs))), "greedy")
+    accepted: list[DataFrame] = []
+    undecided, left = rows, rows.count()
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    both = lambda a, b: a & b
     for turn in itertools.count():
-        before, left = left, state.where("accepted is null").count()
         if not left:
-            return state.select(order, "accepted")
-        if left == before:
-            raise ValueError(f"{order} isn't unique and not null")
-        open_rows, taken = state.where("accepted is null"), state.where("accepted")
-        marked = state
-        for i in range(len(unique)):
-            first = open_rows.groupBy(f"u{i}").agg(F.min(order).alias(f"open{i}"))
-            used = taken.groupBy(f"u{i}").agg(F.min(order).alias(f"used{i}"))
-            marked = marked.join(first, f"u{i}", "left").join(used, f"u{i}", "left")
-        for i, cap in enumerate(caps.values()):
-            count = taken.groupBy(f"c{i}").agg(F.count("*").alias(f"n{i}"))
-            marked = marked.join(count, f"c{i}", "left").withColumn(f"n{i}", F.coalesce(f"n{i}", F.lit(0)))
-            ranked = open_rows.withColumn("r", F.row_number().over(Window.partitionBy(f"c{i}").orderBy(order))).where(f"r <= {cap}").select(order, F.col("r").alias(f"r{i}"))
-            marked = marked.join(ranked, order, "left")
-        every = lambda parts: functools.reduce(lambda a, b: a & b, parts, F.lit(True))
-        some = lambda parts: functools.reduce(lambda a, b: a | b, parts, F.lit(False))
-        taken_before = [F.coalesce(F.col(f"used{i}") < F.col(order), F.lit(False)) for i in range(len(unique))]
+            break
+        marked = undecided
+        for u in us:
+            marked = marked.join(undecided.groupBy(u).agg(F.min(order).alias(f"first_{u}")), u)
+        for c in cs:
+            marked = marked.join(union(accepted).groupBy(c).agg(F.count("*").alias(f"n_{c}")), c, "left") if accepted else marked.withColumn(f"n_{c}", F.lit(0).cast("long"))
+            marked = marked.withColumn(f"n_{c}", F.coalesce(f"n_{c}", F.lit(0)))
         if turn >= ROUNDS and (turn - ROUNDS) % 2 == 0:
-            head = marked.where("accepted is null").orderBy(order).limit(IN_ORDER).coalesce(1).sortWithinPartitions(order)
-            head = head.select(order, *(f"u{i}" for i in range(len(unique))), *(x.alias(f"t{i}") for i, x in enumerate(taken_before)), *(f"c{i}" for i in range(len(caps))), *(f"n{i}" for i in range(len(caps))))
-            settled = head.mapInArrow(_in_order(len(unique), list(caps.values())), StructType([StructField(order, df.schema[order].dataType), StructField("settled", BooleanType())]))
-            marked = marked.join(settled, order, "left")
-            decided = F.coalesce("accepted", "settled")
+            head = marked.orderBy(order).limit(IN_ORDER).coalesce(1).sortWithinPartitions(order).select(order, *us, *cs, *(f"n_{c}" for c in cs))
+            settled = head.mapInArrow(_in_order(len(us), list(caps.values())), StructType([StructField(order, df.schema[order].dataType), StructField("settled", BooleanType())]))
+            decided = marked.join(settled, order, "left")
         else:
-            yes = every([F.col(f"open{i}") == F.col(order) for i in range(len(unique))] + [F.coalesce(F.col(f"r{i}") + F.col(f"n{i}") <= cap, F.lit(False)) for i, cap in enumerate(caps.values())])
-            no = some(taken_before + [F.col(f"n{i}") >= cap for i, cap in enumerate(caps.values())])
-            decided = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(no, False).when(yes, True)
-        after = written(marked.select(order, *(f"u{i}" for i in range(len(unique))), *(f"c{i}" for i in range(len(caps))), decided.alias("accepted")), "greedy")
-        drop_written(state)
-        state = after
+            yes = [F.col(f"first_{u}") == F.col(order) for u in us]
+            for c, cap in zip(cs, caps.values()):
+                ranked = undecided.withColumn("r", F.row_number().over(Window.partitionBy(c).orderBy(order))).where(f"r <= {cap}").select(order, F.col("r").alias(f"r_{c}"))
+                marked = marked.join(ranked, order, "left")
+                yes.append(F.coalesce(F.col(f"r_{c}") + F.col(f"n_{c}") <= cap, F.lit(False)))
+            decided = marked.withColumn("settled", F.when(functools.reduce(both, yes, F.lit(True)), True))
+        done = written(decided.select(order, *us, *cs, "settled"), "round")
+        accepted.append(written(done.where("settled").select(order, *us, *cs), "accepted"))
+        rest = done.where("settled is null").drop("settled")
+        for u in us:
+            rest = rest.join(accepted[-1].select(u).distinct(), u, "left_anti")
+        for c, cap in zip(cs, caps.values()):
+            rest = rest.join(union(accepted).groupBy(c).agg(F.count("*").alias("n")).where(f"n >= {cap}").select(c), c, "left_anti")
+        rest = written(rest.select(order, *us, *cs), "undecided")
+        before, left = left, rest.count()
+        if left == before:
+            raise ValueError(f"{order} isn't unique and not null")
+        drop_written(done)
+        if undecided is not rows:
+            drop_written(undecided)
+        undecided = rest
+        if len(accepted) > PARTS:
+            whole = written(union(accepted), "accepted")
+            for part in accepted:
+                drop_written(part)
+            accepted = [whole]
+    taken = union([p.select(order) for p in accepted] or [rows.select(order).limit(0)]).withColumn("accepted", F.lit(True))
+    return rows.select(order).join(taken, order, "left").select(order, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def greedy_reasons(df: DataFrame, order: str, unique: dict[str, str], caps: dict[str, tuple[int, str]] | None = None) -> DataFrame:
@@ -127,14 +150,12 @@ def greedy_reasons(df: DataFrame, order: str, unique: dict[str, str], caps: dict
     return joined.withColumn("reason", F.when(F.col("accepted"), F.lit(None)).otherwise(reason)).drop("accepted", *(f"__first_{k}" for k in unique))
 
 
-def first_rows(df: DataFrame, order: list[str], limit: int) -> DataFrame:
-    """The first `limit` rows of all; a top-k, so no full sort."""
-    return df.orderBy(*order).limit(limit)
-
-
-def split_selection(df: DataFrame, split: str, order: str, unique: list[str], entry: str, targets: dict[str, int], cap: int = 5) -> DataFrame:
+def split_selection(df: DataFrame, split: str, order: str, unique: list[str], entry: str, targets: dict[str, int], cap: int = 5, allow_short: bool = False) -> DataFrame:
     """Selects each split in the order of `targets`: unique keys over all splits, at most `cap` rows per entry within a split, no entry
-    of the first split in later ones, at most the target each. df holds only rows that may be accepted."""
+    of the first split in later ones, the target each. df holds only rows that may be accepted.
+
+    A split that misses its target raises, as no rule is relaxed to fill it; allow_short returns what there is.
+    """
     rank = F.create_map(*(F.lit(x) for i, s in enumerate(targets) for x in (s, i)))
     rows = df.withColumn("__rank", F.element_at(rank, F.col(split))).where("__rank is not null").withColumn("__capped", F.struct(split, entry))
     first, others = list(targets)[0], list(targets)[1:]
@@ -147,6 +168,8 @@ def split_selection(df: DataFrame, split: str, order: str, unique: list[str], en
                 part = part.join(chosen.select(u).distinct(), u, "left_anti")
         kept = part.join(greedy(part, order, unique, {entry: cap}).where("accepted").select(order), order)
         kept = written(first_rows(kept, [order], target).drop("__rank", "__capped"), "selected")
+        if not allow_short and (n := kept.count()) < target:
+            raise DataError(f"{s} has {n} acceptable rows of {target}")
         out = kept if out is None else out.unionByName(kept)
         chosen = out
     return out

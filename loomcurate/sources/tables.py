@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import links
+
 ATTEMPTS = "eval map<string, array<struct<task_id:string, solution:string, base_status:string, plus_status:string>>>"
 
 
@@ -110,17 +113,84 @@ def integrity(tables: dict[str, DataFrame], lock: dict) -> DataFrame:
     return out
 
 
-def new_version(df: DataFrame, root: str) -> str:
-    """Writes the next numbered version under root and returns its path; earlier versions stay as the archive."""
-    spark = df.sparkSession
+def _versions(spark: SparkSession, root: str) -> list[int]:
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    taken = [int(s.getPath().getName()[1:]) for s in fs.listStatus(base) if s.getPath().getName().startswith("v")] if fs.exists(base) else []
-    path = f"{root.rstrip('/')}/v{max(taken, default=0) + 1}"
+    return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(base) if s.getPath().getName().startswith("v")) if fs.exists(base) else []
+
+
+def new_version(df: DataFrame, root: str) -> str:
+    """Writes the next numbered version under root and returns its path; earlier versions stay as the archive."""
+    path = f"{root.rstrip('/')}/v{max(_versions(df.sparkSession, root), default=0) + 1}"
     df.write.mode("errorifexists").parquet(path)
     return path
 
 
+def archived(spark: SparkSession, root: str, stated: dict) -> DataFrame:
+    """The version under root with the stated rows and fingerprint (as in a lock), the current one or one of the archive; raises if none has."""
+    for number in reversed(_versions(spark, root)):
+        df = spark.read.parquet(f"{root.rstrip('/')}/v{number}")
+        if fingerprint(df).first().asDict() == stated:
+            return df
+    raise DataError(f"no version under {root} is the stated input")
+
+
+def rebuilt(spark: SparkSession, root: str, stated: dict, build: Callable[[DataFrame], DataFrame]) -> str:
+    """Builds a version again from its stated input rather than from its own last output, and returns the path of the result."""
+    return new_version(build(archived(spark, root, stated)), root)
+
+
+def binding_violations(stated: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, key, stated, found) where a record states another value than is found, or one that isn't there.
+
+    Both sides have name, key and value (strings): what the audit `name` says of `key`, such as its source, scorer or script, and
+    the fingerprint that this has now. Values that nothing states are no violation.
+    """
+    now = found.select("key", F.col("value").alias("found"))
+    joined = stated.select("name", "key", F.col("value").alias("stated")).join(now, "key", "left")
+    return joined.where(F.col("found").isNull() | ~F.col("stated").eqNullSafe(F.col("found"))).select("name", "key", "stated", "found")
+
+
+def require_bindings(stated: DataFrame, found: DataFrame) -> None:
+    """Raises where binding_violations() finds any; names some of them."""
+    if bad := binding_violations(stated, found).limit(20).collect():
+        raise DataError("; ".join(f"{r['name']} is bound to another {r['key']}" for r in bad))
+
+
+def link_violations(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, target) of local links that lead to no file. pages: path, text; files: path.
+
+    Targets are those of text.links(); addresses with a scheme are skipped, anchors alone lead to their own page, and relative
+    targets are resolved against the page's folder. Targets above the root lead nowhere.
+    """
+    each = pages.select("path", F.explode(links(F.col("text"))).alias("target")).where(~F.col("target").rlike("(?i)^(?:[a-z][a-z0-9+.-]*:|//)"))
+    file = F.url_decode(F.regexp_replace(F.split_part("target", F.lit("#"), F.lit(1)), "%(?![0-9A-Fa-f]{2})", "%25"))
+    folder = F.regexp_replace("path", r"[^/]*\z", "")
+    parts = F.filter(F.split(F.concat(F.when(file.startswith("/"), "").otherwise(folder), file), "/"), lambda p: ~p.isin("", "."))
+    up = lambda done, p: F.when(p != "..", F.concat(done, F.array(p))).when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(F.array(F.lit("..")))
+    resolved = F.when(file == "", F.col("path")).otherwise(F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/"))
+    return each.withColumn("__file", resolved).join(files.select(F.col("path").alias("__file")).distinct(), "__file", "left_anti").select("path", "target").distinct()
+
+
+def repository_checks(tables: dict[str, DataFrame], lock: dict, evaluation_hash: str, runs: DataFrame, pages: DataFrame, files: DataFrame) -> DataFrame:
+    """(part, name, check, violations): one report over data, results and documents.
+
+    Data: rows and fingerprints against the lock, and the evaluation that the lock names. Results: the rows (run, check, violations) of
+    evaluate.run_checks() and record_checks(). Documents: local links without a file, per page. Only violations above 0 have rows.
+    """
+    spark = pages.sparkSession
+    facts = [("data", "lock", "evaluation", int(lock.get("evaluation") != evaluation_hash))]
+    for name, df in tables.items():
+        stated, now = lock["tables"].get(name, {}), fingerprint(df).first()
+        facts += [("data", name, "rows", int(stated.get("rows") != now["rows"])), ("data", name, "fingerprint", int(stated.get("fingerprint") != now["fingerprint"]))]
+    facts += [("data", name, "missing", 1) for name in lock["tables"] if name not in tables]
+    data = spark.createDataFrame(facts, "part string, name string, check string, violations long")
+    results = runs.select(F.lit("results").alias("part"), F.col(runs.columns[0]).cast("string").alias("name"), "check", F.col("violations").cast("long").alias("violations"))
+    documents = link_violations(pages, files).groupBy(F.col("path").alias("name")).agg(F.count("*").alias("violations"))
+    documents = documents.select(F.lit("documents").alias("part"), "name", F.lit("link").alias("check"), "violations")
+    return data.unionByName(results).unionByName(documents).where("violations > 0")
+
+
 def frozen_tasks(suites: dict[str, DataFrame]) -> DataFrame:
     """One manifest of evaluation tasks: (suite, task_id, prompt, entry_point). Tests and answers are left behind."""
     out = None

@@ -202,3 +202,23 @@ def test_gae_equals_the_recurrence(spark, pairs):
         want.append(following)
     got = spark.createDataFrame([(list(rewards), list(states))], "r array<double>, v array<double>").select(M.gae(F.col("r"), F.col("v"))["advantages"].alias("a")).first().a
     assert got == pytest.approx(want[::-1], abs=1e-9)
+
+
+def test_losses_equal_a_reference_on_random_cases(spark):
+    """40 random cases: log-probabilities of answers from logits, and the preference loss of four of them, worked out in numpy."""
+    import numpy as np
+
+    r = np.random.default_rng(42)
+    cases, want = [], []
+    for case in range(40):
+        prompt, answer = 1 + case % 7, 1 + case % 11
+        logits, ids = r.normal(size=(prompt + answer, 19)), r.integers(0, 19, prompt + answer)
+        log_p = logits - np.log(np.exp(logits).sum(1, keepdims=True))
+        four = r.normal(size=4)
+        want.append((sum(log_p[i - 1, ids[i]] for i in range(prompt, prompt + answer)), np.logaddexp(0, -0.1 * ((four[0] - four[2]) - (four[1] - four[3])))))
+        cases.append((case, logits.tolist(), ids.tolist(), prompt, *four.tolist()))
+    df = spark.createDataFrame(cases, "i int, logits array<array<double>>, ids array<int>, prompt int, a double, b double, c double, d double")
+    total = M.total(M.action_logprobs(F.col("logits"), F.col("ids"), F.col("prompt"), 1.0))
+    got = df.select("i", total.alias("t"), M.dpo_loss(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("l")).orderBy("i").collect()
+    assert [x.t for x in got] == pytest.approx([w[0] for w in want], abs=1e-9)
+    assert [x.l for x in got] == pytest.approx([w[1] for w in want], abs=1e-9)

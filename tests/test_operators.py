@@ -103,7 +103,9 @@ def test_greedy_in_order(spark, monkeypatch, seed):
 def test_split_selection_and_caps(spark):
     data = [(i, "valid" if i % 3 == 0 else "train", f"id{i % 11}", f"e{i % 4}") for i in range(40)]
     df = spark.createDataFrame(data, "ord long, split string, id string, entry string")
-    got = S.split_selection(df, "split", "ord", ["id"], "entry", {"valid": 3, "train": 50}, cap=2)
+    with pytest.raises(ValueError, match="train has"):
+        S.split_selection(df, "split", "ord", ["id"], "entry", {"valid": 3, "train": 50}, cap=2)
+    got = S.split_selection(df, "split", "ord", ["id"], "entry", {"valid": 3, "train": 50}, cap=2, allow_short=True)
     picked = rows(got, "split", "ord", "id", "entry")
     valid = [x for x in picked if x[0] == "valid"]
     train = [x for x in picked if x[0] == "train"]
@@ -163,3 +165,61 @@ def test_audits(spark):
     steps = spark.createDataFrame([("r", 1, 0.2), ("r", 2, 0.5), ("r", 3, 0.5), ("r", 4, 0.1)], "run string, step int, v double")
     assert A.checkpoint_of_best(steps, "run", "step", "v").first().step == 2 and A.checkpoint_of_least(steps, "run", "step", "v").first().step == 4
     assert [r.improved for r in A.best_so_far(steps, "step", "v", "run").orderBy("step").collect()] == [True, True, False, False]
+
+
+def test_large_limits_are_cut_by_counting(spark, monkeypatch):
+    monkeypatch.setattr(P, "TOP", 10)
+    r = random.Random(1)
+    values = [r.randrange(10**6) for _ in range(900)] + [5] * 300
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v long")
+    for limit in (0, 10, 11, 250, 333, 1199, 1200, 5000):
+        got = P.first_rows(df, ["v", "i"], limit).collect()
+        assert sorted((x.v, x.i) for x in got) == sorted((v, i) for i, v in enumerate(values))[:limit]
+    whole = {x.i for x in P.sample(df, "i", 400, 7).collect()}
+    monkeypatch.setattr(P, "TOP", 1000)
+    assert whole == {x.i for x in P.sample(df, "i", 400, 7).collect()} and len(whole) == 400
+    with pytest.raises(ValueError, match="fewer than"):
+        P.sample(df, "i", 1201, 7).collect()
+
+
+def test_ranks_of_texts_and_in_groups_of_null(spark):
+    r = random.Random(2)
+    data = [(r.choice(["a", None]), f"id-{r.randrange(10**9)}-ü{i}") for i in range(500)]
+    got = {(x.g, x.t): x.row_number for x in P.ranked(spark.createDataFrame(data, "g string, t string"), "g", "t").collect()}
+    for g in ("a", None):
+        assert [got[g, t] for t in sorted((t for h, t in data if h == g), key=str.encode)] == list(range(1, 1 + sum(h == g for h, _ in data)))
+
+
+def test_spread_is_exact(spark):
+    import statistics
+
+    r = random.Random(3)
+    data = [(g, r.choice([1, 2, r.randrange(1000)])) for g in ("a", "b", None) for _ in range(r.randrange(40, 400))] + [("one", 7), ("two", 1), ("two", 4), ("none", None)]
+    got = {x.g: (x.least, x["median"], x.greatest) for x in A.spread(spark.createDataFrame(data, "g string, v int"), ["g"], "v").collect()}
+    of = lambda g: [v for h, v in data if h == g]
+    assert got == {g: (min(of(g)), statistics.median(of(g)), max(of(g))) for g in ("a", "b", None, "one", "two")}
+    assert A.spread(spark.createDataFrame([], "g string, v int"), ["g"], "v").count() == 0
+
+
+def test_records_of_runs(spark):
+    counts = spark.createDataFrame([("a", "s", 1, 2), ("b", "s", 2, 2), ("c", "s", 0, 2)], "run string, suite string, passed long, total long")
+    configs = spark.createDataFrame([("a", "a", "h", None, False, 512), ("b", "x", "old", 10, True, None)], "run string, stage string, eval_sha256 string, limit_per_suite int, do_sample boolean, max_new_tokens int")
+    summaries = spark.createDataFrame([("a", "a", "s", "h", 1, 2, 0.5), ("b", "b", "s", None, 1, 2, 0.5), ("b", "b", "other", "h", 0, 0, None)], "run string, stage string, suite string, eval_sha256 string, passed long, total long, pass_at_1 double")
+    got = {(x.run, x.check): x.violations for x in E.record_checks(configs, summaries, counts, "h", "run").collect()}
+    assert {k for k, n in got.items() if k[0] == "a" and n} == set() and len(got) == 27
+    assert {k[1]: n for k, n in got.items() if k[0] == "b" and n} == {"config_stage": 1, "config_evaluation": 1, "limited": 1, "decoding": 1, "summary_evaluation": 1, "passed": 2, "total": 1, "pass_at_1": 2}
+    assert {k[1] for k, n in got.items() if k[0] == "c" and n} == {"config_stage", "config_evaluation", "limited", "decoding", "summary_stage", "summary_evaluation", "passed", "total", "pass_at_1"}
+    same = spark.createDataFrame([("r", "t1", "x"), ("r", "t1", None), ("r", "t2", "y")], "run string, task_id string, solution string")
+    other = same.withColumn("solution", F.when(F.col("solution") == "x", "z").otherwise(F.col("solution")))
+    tasks = spark.createDataFrame([("t1",), ("t2",)], "task_id string")
+    checks = lambda judged: {x.check: x.violations for x in E.run_checks(same, judged, tasks, "run").collect()}
+    assert checks(same.orderBy(F.rand()))["other_solution"] == 0 and checks(other)["other_solution"] == 1 and checks(same)["several_attempts"] == 1
+    assert {(x.run, x.rows) for x in E.comparison_violations(same.select("run"), "run", ["r", "gone"]).collect()} == {("r", 3), ("gone", 0)}
+
+
+def test_samples_are_executed_again(spark):
+    df = spark.createDataFrame([(i, "c", ["t"] * (i % 3), 0.5 if i else None) for i in range(30)], "k long, code string, tests array<string>, stated double")
+    got = A.reexecuted(df, "k", 1, 30, lambda codes, tests: [len(t) / 2 for t in tests], "code", "tests", "stated").collect()
+    assert all(r.matched == (r.k % 3 == 1 and r.k > 0) for r in got) and len(got) == 30
+    flat = A.flattened(df, "k", "tests").withColumn("n", F.col("at") + 1)
+    assert {r.k: r["values"] for r in A.regrouped(flat, "k", "n").collect()} == {i: list(range(1, i % 3 + 1)) for i in range(30) if i % 3}

@@ -103,3 +103,28 @@ def test_written_tables_can_be_dropped(spark):
     assert table.count() == 5 and folder.exists()
     session.drop_written(table)
     assert not folder.exists()
+
+
+def test_rebuilding_starts_from_the_archive(spark, tmp_path):
+    root = str(tmp_path / "versions")
+    first = spark.createDataFrame([(1, True), (2, False)], "id long, ok boolean")
+    T.new_version(first, root)
+    stated = T.fingerprint(first).first().asDict()
+    build = lambda df: df.where("ok").withColumn("id", F.col("id") + 10)
+    paths = [T.rebuilt(spark, root, stated, build) for _ in range(2)]
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["v2", "v3"] and all(spark.read.parquet(p).first().id == 11 for p in paths)
+    with pytest.raises(T.DataError, match="no version"):
+        T.archived(spark, root, stated | {"rows": 3})
+
+
+def test_links_and_bindings(spark):
+    text = "[a](b.md) [c](./d/../b.md#x) [e](../up.md) [f](#own) [g](https://x.example) [h](/docs/b.md) [i](no%20way.md) <a href='mailto:x@y.z'> [j](100%.md)"
+    pages = spark.createDataFrame([("docs/a.md", text), ("docs/n.md", None)], "path string, text string")
+    files = spark.createDataFrame([("docs/a.md",), ("docs/b.md",), ("docs/no way.md",)], "path string")
+    assert sorted(r.target for r in T.link_violations(pages, files).collect()) == ["../up.md", "100%.md"]
+    stated = spark.createDataFrame([("audit", "source", "1"), ("audit", "scorer", "2"), ("review", "gone", "3")], "name string, key string, value string")
+    found = spark.createDataFrame([("now", "source", "1"), ("now", "scorer", "9")], "name string, key string, value string")
+    assert sorted(tuple(r) for r in T.binding_violations(stated, found).collect()) == [("audit", "scorer", "2", "9"), ("review", "gone", "3", None)]
+    with pytest.raises(T.DataError, match="audit is bound to another scorer"):
+        T.require_bindings(stated, found)
+    T.require_bindings(stated.limit(0), found)
