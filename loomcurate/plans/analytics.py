@@ -3,6 +3,8 @@ by the same formula on both sides; they stand in for the output of a judge."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +78,13 @@ def any_two_runs(t):
     return E.transition_counts(E.paired(stage(t, "base"), stage(t, "grpo"), ["suite", "task_id"]))
 
 
-@query("s8_1_case_order", _pairs("lora_sft", "dpo") + " SELECT task_id, transition, row_number() OVER (PARTITION BY suite ORDER BY (transition <> 'lost')::int, try_cast(split_part(task_id, '/', 2) AS int), task_id) AS position FROM j")
+@query("s8_1_case_order", _pairs("lora_sft", "dpo") + " SELECT task_id, transition, row_number() OVER (ORDER BY (transition <> 'lost')::int, suite, try_cast(split_part(task_id, '/', 2) AS int), task_id) AS position FROM j")
 def case_order(t):
+    """Cases of both suites in one order; there are as many as evaluation tasks, a fixed number."""
     from pyspark.sql import Window
 
-    rows = paired_runs(t)
     order = E.case_order(F.col("transition"), F.col("suite"), F.col("task_id"))
-    return rows.select("task_id", "transition", F.row_number().over(Window.partitionBy("suite").orderBy(*order)).alias("position"))
+    return paired_runs(t).select("task_id", "transition", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("position"))
 
 
 @query("s8_2_stage_order", f"SELECT DISTINCT stage, coalesce(list_position({STAGES!r}, stage), 0) AS position FROM samples")
@@ -97,14 +99,45 @@ def passed(t):
 
 @query(
     "s13_3_run_checks",
-    """WITH h AS (SELECT stage, task_id, count(*) AS n FROM samples WHERE task_id IS NOT NULL GROUP BY 1, 2), r AS (SELECT DISTINCT stage FROM samples WHERE task_id IS NOT NULL),
-x AS (SELECT r.stage, e.task_id FROM r, evaluation e), f AS (SELECT coalesce(x.stage, h.stage) AS stage, x.task_id IS NULL AS unknown, h.n FROM x FULL JOIN h ON x.stage = h.stage AND x.task_id = h.task_id)
+    """WITH h AS (SELECT stage, task_id, count(*) AS n, list_sort(list(coalesce(solution, chr(0)))) IS DISTINCT FROM list_sort(list(CASE WHEN sample_id % 7 = 0 THEN 'changed' ELSE coalesce(solution, chr(0)) END)) AS other FROM samples WHERE task_id IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT DISTINCT stage FROM samples WHERE task_id IS NOT NULL UNION SELECT 'reference'), x AS (SELECT r.stage, e.task_id FROM r, evaluation e),
+f AS (SELECT coalesce(x.stage, h.stage) AS stage, x.task_id IS NULL AS unknown, h.n, coalesce(h.other, false) AS other FROM x FULL JOIN h ON x.stage = h.stage AND x.task_id = h.task_id)
 SELECT stage, 'missing_sample' AS "check", count(*) FILTER (n IS NULL) AS violations FROM f GROUP BY 1 UNION ALL SELECT stage, 'missing_verdict', count(*) FILTER (n IS NULL) FROM f GROUP BY 1
-UNION ALL SELECT stage, 'unknown_task', count(*) FILTER (unknown) FROM f GROUP BY 1 UNION ALL SELECT stage, 'several_attempts', count(*) FILTER (n > 1) FROM f GROUP BY 1 UNION ALL SELECT stage, 'other_solution', 0 FROM f GROUP BY 1""",
+UNION ALL SELECT stage, 'unknown_task', count(*) FILTER (unknown) FROM f GROUP BY 1 UNION ALL SELECT stage, 'several_attempts', count(*) FILTER (n > 1) FROM f GROUP BY 1 UNION ALL SELECT stage, 'other_solution', count(*) FILTER (other) FROM f GROUP BY 1""",
 )
 def run_checks(t):
+    """Verdicts on the samples, one in seven of which judged another solution; a stage without samples misses every task."""
     samples = t.samples.where("task_id is not null")
-    return E.run_checks(samples, samples.select("stage", "task_id", "solution"), t.evaluation, "stage")
+    judged = samples.select("stage", "task_id", F.when(F.col("sample_id") % 7 == 0, "changed").otherwise(F.col("solution")).alias("solution"))
+    return E.run_checks(samples, judged, t.evaluation, "stage", [*STAGES, "reference"])
+
+
+@query(
+    "s13_3b_record_checks",
+    ATTEMPTS
+    + """, c AS (SELECT stage, suite, count(*) FILTER (ok) AS p, count(*) AS t FROM p GROUP BY 1, 2), r AS (SELECT stage, count(*) AS suites, count(*) FILTER (p > 0) AS some FROM c GROUP BY 1)
+SELECT stage, 'config_stage' AS "check", (stage = 'ppo')::int AS violations FROM r UNION ALL SELECT stage, 'config_evaluation', (stage = 'dpo')::int FROM r UNION ALL SELECT stage, 'limited', (stage = 'base')::int FROM r
+UNION ALL SELECT stage, 'decoding', (stage = 'grpo')::int FROM r UNION ALL SELECT stage, 'summary_stage', 0 FROM r UNION ALL SELECT stage, 'summary_evaluation', 0 FROM r
+UNION ALL SELECT stage, 'passed', CASE WHEN stage = 'lora_sft' THEN suites ELSE 0 END FROM r UNION ALL SELECT stage, 'total', 0 FROM r UNION ALL SELECT stage, 'pass_at_1', 0 FROM r""",
+)
+def record_checks(t):
+    """Records of the stages, each with one fault of another kind."""
+    counts = E.pass_at_1(attempts(t), ["stage", "suite"])
+    stage, others = F.col("stage"), lambda s, bad, good: F.when(F.col("stage") == s, bad).otherwise(good)
+    configs = counts.select("stage").distinct().select(
+        others("ppo", F.lit("ppo2"), stage).alias("stage_said"), stage, others("dpo", F.lit("old"), F.lit("now")).alias("eval_sha256"), others("base", F.lit(10), F.lit(None)).alias("limit_per_suite"),
+        F.lit(False).alias("do_sample"), others("grpo", F.lit(1024), F.lit(512)).alias("max_new_tokens"),
+    )
+    configs = configs.withColumn("run", stage).drop("stage").withColumnRenamed("stage_said", "stage")
+    summaries = counts.select(stage.alias("run"), "stage", "suite", F.lit("now").alias("eval_sha256"), others("lora_sft", F.col("passed") + 1, F.col("passed")).alias("passed"), "total", "pass_at_1")
+    return E.record_checks(configs, summaries, counts.select(stage.alias("run"), "suite", "passed", "total"), "now", "run").withColumnRenamed("run", "stage")
+
+
+@query("s13_5_single_stage", "SELECT stage, count(*) + (stage = 'dpo')::int AS rows FROM (SELECT DISTINCT stage FROM samples) GROUP BY 1 HAVING count(*) + (stage = 'dpo')::int > 1 UNION ALL SELECT 'reference', 0")
+def single_stage(t):
+    """A comparison that takes one stage twice and lacks another."""
+    runs = t.samples.select("stage").distinct()
+    return E.comparison_violations(runs.unionByName(runs.where("stage = 'dpo'")), "stage", [*STAGES, "reference"])
 
 
 @query("s13_4_environment", "SELECT 'suite' AS \"check\", count(DISTINCT suite) AS values FROM evaluation UNION ALL SELECT 'entry_point', count(DISTINCT entry_point) FROM evaluation")
@@ -184,9 +217,26 @@ def example_exclusions(t):
     return A.excluding(t.rl, "source_id", F.length("prompt") % 5 == 0)
 
 
-@query("s11_8_rescored", "SELECT count(*) AS rows, count(*) FILTER (length(solution) % 3 = length(raw_completion) % 3) AS matched FROM samples")
+@query(
+    "s11_8_rescored",
+    """SELECT row_id, (row_id % 3) / 2.0 AS stated, score, coalesce((row_id % 3) / 2.0 = score, false) AS matched
+FROM (SELECT row_id, CASE WHEN tests IS NULL OR len(tests) = 0 THEN 0.0 ELSE (len(tests) % 3) / 2.0 END AS score FROM grpo ORDER BY sha256('20261004|' || row_id), row_id LIMIT 20)""",
+)
 def rescored(t):
-    return t.samples.agg(F.count("*").alias("rows"), F.count_if(F.length("solution") % 3 == F.length("raw_completion") % 3).alias("matched"))
+    """A seeded sample scored again, beside the scores stated before."""
+
+    def scorer(codes: list[str], tests: list[list[str]]) -> list[float]:
+        return [len(x) % 3 / 2 for x in tests]
+
+    rows = t.grpo.select("row_id", F.coalesce("prompt", F.lit("")).alias("prompt"), "tests", ((F.col("row_id") % 3) / 2).alias("stated"))
+    return A.reexecuted(rows, "row_id", 20261004, 20, scorer, "prompt", "tests", "stated")
+
+
+@query("s11_4_regrouped", "SELECT row_id, list_transform(tests, lambda x: length(x)) AS lengths FROM grpo WHERE len(tests) > 0")
+def regrouped(t):
+    """Scores of single tests back in the batches they came from."""
+    flat = A.flattened(t.grpo, "row_id", "tests").withColumn("n", F.length("test"))
+    return A.regrouped(flat, "row_id", "n").withColumnRenamed("values", "lengths")
 
 
 @query("s6_11_spread", "SELECT split, min(completion_tokens) AS least, round(median(completion_tokens), 6) AS median, max(completion_tokens) AS greatest FROM sft WHERE completion_tokens IS NOT NULL GROUP BY 1")
@@ -348,9 +398,87 @@ def batches(t):
     return P.batches(t.rl.select("row_id", "split"), "row_id", "split", 16).select("row_id", "batch")
 
 
-@query("s6_15_integrity", "SELECT 'rl' AS name, count(*) AS rows, count(*) AS locked_rows, 0 AS violations FROM rl")
+@query("s6_15_integrity", "SELECT 'rl' AS name, count(*) AS rows, count(tests) AS locked_rows, (count(*) <> count(tests))::int AS violations FROM rl UNION ALL SELECT 'grpo', count(*), count(*), 0 FROM grpo")
 def integrity(t):
+    """Tables against the lock of a version in which rl lacked the rows without tests."""
     from ..sources.tables import integrity as check
     from ..sources.tables import lock_of
 
-    return check({"rl": t.rl}, lock_of({"rl": t.rl}))
+    return check({"rl": t.rl, "grpo": t.grpo}, lock_of({"rl": t.rl.where("tests is not null"), "grpo": t.grpo}))
+
+
+@query("s12_12_cross_check", V + ", z AS (SELECT vec_id, 0.1 * ((list_sum(a) - list_sum(b)) - (list_sum(c) - list_sum(d))) AS z FROM h) SELECT vec_id, round(ln(1 + exp(-abs(z))) + greatest(-z, 0), 5) + 0.0 AS loss, true AS agrees FROM z")
+def cross_check(t):
+    """The preference loss beside an independent one in numpy."""
+
+    @F.pandas_udf("double")
+    def other(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        margin = np.stack(a).sum(1) - np.stack(c).sum(1) - (np.stack(b).sum(1) - np.stack(d).sum(1))
+        return pd.Series(np.logaddexp(0, -0.1 * margin))
+
+    a, b, c, d = (M.total(F.col(x)) for x in "abcd")
+    both = vectors(t).select("vec_id", M.dpo_loss(a, b, c, d).alias("l"), other("a", "b", "c", "d").alias("o"))
+    return both.select("vec_id", _r(F.col("l")).alias("loss"), (F.abs(F.col("l") - F.col("o")) <= 1e-7).alias("agrees"))
+
+
+# ---- reports and checks of a whole repository
+
+
+@query("s1_16_markdown", "SELECT * FROM (SELECT '| value | rows |' AS line UNION ALL SELECT '| --- | --- |' UNION ALL SELECT '| ' || len(tests) || ' | ' || count(*) || ' |' FROM grpo WHERE tests IS NOT NULL GROUP BY len(tests))")
+def markdown(t):
+    """The lines of a Markdown report."""
+    from ..sources.reports import markdown_table
+
+    return t.spark.createDataFrame([(x,) for x in markdown_table(histogram(t)).splitlines()], "line string")
+
+
+@query("s1_15_html", _pairs("lora_sft", "dpo") + " SELECT transition, count(*) AS cases FROM j WHERE transition IN ('lost', 'gained') GROUP BY 1")
+def html_report(t):
+    """The cases of an HTML page, counted in the page itself."""
+    import re
+    from collections import Counter
+
+    from ..sources.reports import case_report
+
+    cases = paired_runs(t).where("transition in ('lost', 'gained')").select("task_id", "transition", F.lit("<a>").alias("before"), F.lit("<b>").alias("after"))
+    kinds = Counter(re.findall(r'<section data-kind="(\w+)"', case_report(cases, "cases")))
+    return t.spark.createDataFrame(sorted(kinds.items()), "transition string, cases long")
+
+
+@query(
+    "s13_7_bindings",
+    """WITH s AS (SELECT 'audit' AS name, 'grpo' AS key, count(*) AS stated, count(*) AS found FROM grpo UNION ALL SELECT 'audit', 'scorer', 1, 2 UNION ALL SELECT 'review', 'grpo', count(tests), count(*) FROM grpo UNION ALL SELECT 'review', 'script', 1, NULL)
+SELECT name, key, stated::varchar AS stated, found::varchar AS found FROM s WHERE stated IS DISTINCT FROM found""",
+)
+def bindings(t):
+    """Records bound to sources, scorers and scripts: the scorer has changed, the review is of another version, the script is gone."""
+    from ..sources.tables import binding_violations
+
+    n = lambda c, name, key: t.grpo.agg(c.cast("string").alias("value")).select(F.lit(name).alias("name"), F.lit(key).alias("key"), "value")
+    fixed = lambda *rows: t.spark.createDataFrame(list(rows), "name string, key string, value string")
+    stated = n(F.count("*"), "audit", "grpo").unionByName(n(F.count("tests"), "review", "grpo")).unionByName(fixed(("audit", "scorer", "1"), ("review", "script", "1")))
+    found = n(F.count("*"), "now", "grpo").unionByName(fixed(("now", "scorer", "2"), ("now", "unbound", "3")))
+    return binding_violations(stated, found)
+
+
+@query(
+    "s13_6_repository",
+    """SELECT 'data' AS part, 'rl' AS name, 'fingerprint' AS "check", 1 AS violations FROM rl HAVING count(*) <> count(tests) UNION ALL SELECT 'data', 'rl', 'rows', 1 FROM rl HAVING count(*) <> count(tests)
+UNION ALL SELECT 'data', 'gone', 'missing', 1 UNION ALL SELECT 'results', stage, 'unknown_task', count(DISTINCT task_id) FROM samples WHERE task_id NOT IN (SELECT task_id FROM evaluation WHERE task_id IS NOT NULL) GROUP BY stage
+UNION ALL SELECT 'documents', 'docs/' || doc_id || '.md', 'link', 3 FROM documents WHERE doc_id % 3 = 0""",
+)
+def repository(t):
+    """Data, results and documents in one report; every third document has three links to files that aren't there."""
+    from ..sources.tables import fingerprint, lock_of, repository_checks
+
+    hash_of = fingerprint(t.evaluation).first()["fingerprint"]
+    lock = lock_of({"rl": t.rl.where("tests is not null"), "grpo": t.grpo}, evaluation=hash_of)
+    lock["tables"]["gone"] = {"rows": 1, "fingerprint": ""}
+    samples = t.samples.where("task_id is not null")
+    runs = E.run_checks(samples, samples, t.evaluation, "stage").where("check = 'unknown_task'")
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    local = F.concat(F.lit("[a](#x) [b](../README.md#y) [c](./"), F.col("doc_id").cast("string"), F.lit(".md) [d](https://x.example/z) <img src='/README.md'>"))
+    broken = F.when(F.col("doc_id") % 3 == 0, F.lit(" [e](gone.md) [f](../../above.md) [g](../docs/gone.md)")).otherwise("")
+    pages = t.documents.select(path.alias("path"), F.concat(local, broken).alias("text"))
+    files = pages.select("path").unionByName(t.spark.createDataFrame([("README.md",)], "path string"))
+    return repository_checks({"rl": t.rl, "grpo": t.grpo}, lock, hash_of, runs, pages, files)

@@ -4,8 +4,12 @@ and lengths by the same formula on both sides; they stand in for the output of a
 from __future__ import annotations
 
 import functools
+import json
+import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code as C
@@ -14,7 +18,7 @@ from ..operators import decontaminate as D
 from ..operators import gates as G
 from ..operators import sampling as P
 from ..operators import select as S
-from ..session import new_path
+from ..session import new_path, written
 from ..sources import tables as IO
 from .registry import Tables, query
 
@@ -58,9 +62,16 @@ def file_hashes(t):
     return IO.binary_sha256(t.spark, f"{t.folder}/evaluation.parquet")
 
 
-@query("s1_9_fingerprints", "SELECT 'evaluation' AS name, count(*) AS rows, 64 AS digits FROM evaluation UNION ALL SELECT 'grpo', count(*), 64 FROM grpo")
+def _fingerprint_sql(table: str, columns: str) -> str:
+    """A table's rows and fingerprint; columns in order of their names."""
+    each = ", ".join(f"CASE WHEN {c} IS NULL THEN '{{}}' ELSE '{{\"v\":' || to_json({c})::varchar || '}}' END" for c in columns.split())
+    part = lambda i: f"sum(cast('0x' || substr(h, {1 + 8 * i}, 8) AS bigint))::hugeint::varchar"
+    return f"SELECT '{table}' AS name, count(*) AS rows, sha256(concat_ws(',', {', '.join(map(part, range(4)))})) AS fingerprint FROM (SELECT sha256(concat_ws(chr(31), {each})) AS h FROM {table})"
+
+
+@query("s1_9_fingerprints", _fingerprint_sql("evaluation", "entry_point prompt suite task_id") + " UNION ALL " + _fingerprint_sql("grpo", "entry_point prompt row_id source_id"))
 def fingerprints(t):
-    each = [IO.fingerprint(df).select(F.lit(n).alias("name"), "rows", F.length("fingerprint").alias("digits")) for n, df in (("evaluation", t.evaluation), ("grpo", t.grpo))]
+    each = [IO.fingerprint(df).select(F.lit(n).alias("name"), "rows", "fingerprint") for n, df in (("evaluation", t.evaluation), ("grpo", t.grpo.select("row_id", "source_id", "prompt", "entry_point")))]
     return each[0].unionByName(each[1])
 
 
@@ -71,6 +82,57 @@ def fingerprint_values(t):
     return functools.reduce(DataFrame.unionByName, each)
 
 
+@query("s1_6_refuse_overwrite", "SELECT count(*) AS rows, true AS refused FROM evaluation")
+def refuse_overwrite(t):
+    """The rows of a data set after a second write to its place was refused."""
+    path = new_path(t.spark, "once")
+    IO.write_jsonl(t.evaluation.select("task_id"), path)
+    refused = False
+    try:
+        IO.write_jsonl(t.evaluation.select("task_id").limit(1), path)
+    except AnalysisException:
+        refused = True
+    return IO.read_jsonl(t.spark, path, "task_id string").agg(F.count("*").alias("rows"), F.lit(refused).alias("refused"))
+
+
+@query("s1_7_publish", "SELECT split, count(*) AS rows FROM rl GROUP BY 1")
+def publish(t):
+    """A data set published as a numbered version, by splits."""
+    return t.spark.read.parquet(IO.new_version(t.rl.select("row_id", "split"), new_path(t.spark, "versions"))).groupBy("split").agg(F.count("*").alias("rows"))
+
+
+def _lock(t: Tables, facts: dict, **tables: DataFrame) -> str:
+    """A lock in a folder of the driver, where locks are written and read."""
+    path = f"{tempfile.mkdtemp()}/data.lock.json"
+    IO.write_lock(IO.lock_of(tables, **facts), path)
+    return path
+
+
+@query("s1_10_verified_manifest", "SELECT suite, count(*) AS tasks FROM evaluation GROUP BY 1")
+def verified_manifest(t):
+    """The evaluation's tasks after its fingerprint and the facts that its lock binds were found right."""
+    path = _lock(t, {"revision": "r1"}, evaluation=t.evaluation)
+    return IO.locked(t.evaluation, path, "evaluation", {"revision": "r1"}).groupBy("suite").agg(F.count("*").alias("tasks"))
+
+
+@query("s1_11_lock", "SELECT 'rl' AS name, count(*) AS rows, 64 AS digits, 'r1' AS revision FROM rl UNION ALL SELECT 'evaluation', count(*), 64, 'r1' FROM evaluation")
+def lock(t):
+    stated = json.loads(Path(_lock(t, {"revision": "r1"}, rl=t.rl, evaluation=t.evaluation)).read_text(encoding="utf-8"))
+    return t.spark.createDataFrame([(n, x["rows"], len(x["fingerprint"]), stated["revision"]) for n, x in stated["tables"].items()], "name string, rows long, digits int, revision string")
+
+
+@query("s1_12_rebuild", "SELECT row_id, split FROM rl WHERE tests IS NOT NULL")
+def rebuild(t):
+    """A version built again from its archived input: doing so twice gives the same, as the first output isn't taken for the input."""
+    root = new_path(t.spark, "versions")
+    first = t.rl.select("row_id", "split", "tests")
+    IO.new_version(first, root)
+    stated = IO.fingerprint(first).first().asDict()
+    build = lambda df: df.where("tests is not null").withColumn("passes", (F.col("passes") if "passes" in df.columns else F.lit(0)) + 1)
+    IO.rebuilt(t.spark, root, stated, build)
+    return t.spark.read.parquet(IO.rebuilt(t.spark, root, stated, build)).where("passes = 1").select("row_id", "split")
+
+
 @query("s1_13_frozen_tasks", "SELECT suite, task_id, prompt, entry_point FROM evaluation")
 def frozen_tasks(t):
     return IO.frozen_tasks({s: t.evaluation.where(F.col("suite") == s) for s in ("stepwise", "longform")})
@@ -205,6 +267,16 @@ def name_overlap(t):
     return D.named_like(t.sft, "row_id", C.function_names_udf(F.col("completion")), t.evaluation)
 
 
+@query(
+    "s3_6b_entry_overlap",
+    """SELECT row_id FROM grpo WHERE regexp_replace(lower(entry_point), '[^a-z0-9]', '', 'g') IN (SELECT regexp_replace(lower(e.entry_point), '[^a-z0-9]', '', 'g') AS n FROM (SELECT entry_point FROM evaluation UNION ALL SELECT entry_point FROM grpo WHERE split <> 'train') e WHERE n <> '')""",
+)
+def entry_overlap(t):
+    """Rows whose function has the name of an evaluation task or of a held-out row."""
+    held = t.evaluation.select("entry_point").unionByName(t.grpo.where("split <> 'train'").select("entry_point"))
+    return D.named_like(t.grpo, "row_id", F.array("entry_point"), held)
+
+
 @query("s3_7_held_out_texts", f"SELECT row_id FROM grpo WHERE split = 'train' AND (prompt IS NULL OR {NORM.format('prompt')} NOT IN (SELECT {NORM.format('prompt')} FROM sft WHERE split <> 'train' AND prompt IS NOT NULL))")
 def held_out_texts(t):
     return D.without_texts(t.grpo.where("split = 'train'"), "prompt", t.sft.where("split <> 'train'"), "prompt").select("row_id")
@@ -248,7 +320,7 @@ def evidence_merge(t):
 SELECT row_id, CASE WHEN row_id > min(CASE WHEN ok THEN row_id END) OVER (PARTITION BY k) THEN 'duplicate_prompt' WHEN NOT ok THEN 'too_long' END AS reason FROM k""",
 )
 def first_accepted(t):
-    rows = t.sft.where("prompt is not null").select("row_id", X.key_hash(F.col("prompt")).alias("k"), "completion_tokens")
+    rows = written(t.sft.where("prompt is not null").select("row_id", X.key_hash(F.col("prompt")).alias("k"), "completion_tokens"), "keyed")
     return S.first_accepted(rows, "k", "row_id", F.col("completion_tokens") <= 100, "too_long", "duplicate_prompt").select("row_id", "reason")
 
 
@@ -267,16 +339,35 @@ def name_cap(t):
     return S.capped(rows, "name", ["row_id"], 5)
 
 
-@query("s4_4_coupled_greedy")
+_KEYED = f"(SELECT row_id, source_id, split, sha256({NORM.format('prompt')}) AS pk, coalesce(sha256(array_to_string(tests, chr(10))), 'none') AS ck, {NAME} AS entry FROM grpo WHERE prompt IS NOT NULL AND entry_point IS NOT NULL)"
+
+
+@query(
+    "s4_4_coupled_greedy",
+    f"""WITH RECURSIVE k AS (SELECT *, row_number() OVER (ORDER BY row_id) AS i FROM {_KEYED}),
+g AS (SELECT 0::bigint AS i, 0::bigint AS row_id, NULL::varchar AS reason, []::varchar[] AS ps, []::varchar[] AS cs, []::varchar[] AS es UNION ALL
+SELECT i, row_id, reason, CASE WHEN reason IS NULL THEN list_append(ps, pk) ELSE ps END, CASE WHEN reason IS NULL THEN list_append(cs, ck) ELSE cs END, CASE WHEN reason IS NULL THEN list_append(es, entry) ELSE es END
+FROM (SELECT k.*, ps, cs, es, CASE WHEN list_contains(ps, pk) THEN 'duplicate_prompt' WHEN list_contains(cs, ck) THEN 'duplicate_code' WHEN len(list_filter(es, lambda x: x = k.entry)) >= 5 THEN 'name_cap' END AS reason FROM g JOIN k ON k.i = g.i + 1))
+SELECT row_id, reason FROM g WHERE i > 0""",
+)
 def coupled_greedy(t):
     rows = t.grpo.where("prompt is not null and entry_point is not null").select("row_id", X.key_hash(F.col("prompt")).alias("prompt_key"), F.sha2(F.array_join("tests", "\n"), 256).alias("code_key"), X.plain_name(F.col("entry_point")).alias("name"))
     return S.greedy_reasons(rows, "row_id", {"prompt_key": "duplicate_prompt", "code_key": "duplicate_code"}, {"name": (5, "name_cap")}).select("row_id", "reason")
 
 
-@query("s4_5_split_selection")
+@query(
+    "s4_5_split_selection",
+    f"""WITH RECURSIVE k AS (SELECT *, row_number() OVER (ORDER BY split = 'train', row_id) AS i FROM {_KEYED} WHERE split IN ('valid', 'train')),
+g AS (SELECT 0::bigint AS i, 0::bigint AS row_id, '' AS split, '' AS entry, false AS ok, []::varchar[] AS ps, []::varchar[] AS ids, []::varchar[] AS es UNION ALL
+SELECT i, row_id, split, entry, ok, CASE WHEN ok THEN list_append(ps, pk) ELSE ps END, CASE WHEN ok THEN list_append(ids, source_id) ELSE ids END, CASE WHEN ok THEN list_append(es, split || ':' || entry) ELSE es END
+FROM (SELECT k.*, ps, ids, es, NOT list_contains(ps, pk) AND NOT list_contains(ids, k.source_id) AND NOT (k.split = 'train' AND list_contains(es, 'valid:' || k.entry)) AND len(list_filter(es, lambda x: x = k.split || ':' || k.entry)) < 5
+AND len(list_filter(es, lambda x: starts_with(x, k.split || ':'))) < CASE k.split WHEN 'valid' THEN 2 ELSE 15 END AS ok FROM g JOIN k ON k.i = g.i + 1))
+SELECT row_id, split, entry FROM g WHERE ok""",
+)
 def split_selection(t):
+    """Valid before train, to small targets: both stop there, and a split that missed its target would fail."""
     rows = t.grpo.where("prompt is not null and entry_point is not null").select("row_id", "source_id", "split", X.key_hash(F.col("prompt")).alias("prompt_key"), X.plain_name(F.col("entry_point")).alias("entry"))
-    return S.split_selection(rows, "split", "row_id", ["source_id", "prompt_key"], "entry", {"valid": 50_000_000, "train": 50_000_000}).select("row_id", "split", "entry")
+    return S.split_selection(rows, "split", "row_id", ["source_id", "prompt_key"], "entry", {"valid": 2, "train": 15}).select("row_id", "split", "entry")
 
 
 @query(
@@ -306,7 +397,7 @@ def first_seen(t):
 
 @query("s4_10_accept_limit", "SELECT row_id FROM grpo WHERE len(tests) >= 3 ORDER BY row_id LIMIT 100")
 def accept_limit(t):
-    return S.first_rows(t.grpo.where(F.size("tests") >= 3).select("row_id"), ["row_id"], 100)
+    return P.first_rows(t.grpo.where(F.size("tests") >= 3).select("row_id"), ["row_id"], 100)
 
 
 @query("s4_11_best_candidate", "SELECT task_id, sample_id, score FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, sample_id) AS n FROM (SELECT task_id, sample_id, max(length(solution) % 10) AS score FROM samples WHERE solution IS NOT NULL AND task_id IS NOT NULL GROUP BY 1, 2)) WHERE n = 1")
@@ -363,9 +454,10 @@ def manifest(t):
 # ---- set operations and order
 
 
-@query("s8_3_sorted_ids", "SELECT source, array_to_string(list_sort(list(DISTINCT source_id)), ',') AS ids FROM grpo WHERE source IS NOT NULL GROUP BY 1")
+@query("s8_3_sorted_ids", "SELECT source, source_id, row_number() OVER (PARTITION BY source ORDER BY source_id) AS position FROM (SELECT DISTINCT source, source_id FROM grpo WHERE source_id IS NOT NULL)")
 def sorted_ids(t):
-    return t.grpo.where("source is not null").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("ids"))
+    """The distinct ids of each source in order, a row each, so that a common source needn't fit into one value."""
+    return P.ranked(t.grpo.where("source_id is not null").select("source", "source_id").distinct(), "source", "source_id", "position")
 
 
 @query("s8_5_shared_ids", "SELECT source_id FROM sft WHERE split = 'train' INTERSECT SELECT source_id FROM sft WHERE split = 'valid'")
@@ -416,15 +508,23 @@ def plain_name(t):
 _SAMPLE = "\n**Sample Input 1:**\n```\n3 5\n```\n**Sample Output 1:**\n```\n8\n```\n"
 
 
-@query("s9_7_examples", "SELECT row_id, '3 5' AS input, '8' AS output FROM rl WHERE prompt IS NOT NULL")
+def _with_sample(number_in: str = "", number_out: str = "") -> Column:
+    """Prompts with a sample pair of the row's own id and length."""
+    block = lambda head, body: F.concat(F.lit("\n**Sample "), head, F.lit(":**\n```\n"), body, F.lit("\n```"))
+    i, o = (F.concat(F.lit(name), F.expr(n) if n else F.lit("")) for name, n in (("Input", number_in), ("Output", number_out)))
+    return F.concat("prompt", block(i, F.col("row_id").cast("string")), block(o, F.length("prompt").cast("string")), F.lit("\n"))
+
+
+@query("s9_7_examples", "SELECT row_id, row_id::varchar AS input, length(prompt)::varchar AS output FROM rl WHERE prompt IS NOT NULL")
 def examples(t):
-    e = F.explode(X.examples(F.concat(F.col("prompt"), F.lit(_SAMPLE.replace(" 1:", ":")))))
+    e = F.explode(X.examples(_with_sample()))
     return t.rl.where("prompt is not null").select("row_id", e.alias("e")).select("row_id", "e.input", "e.output")
 
 
-@query("s9_8_numbered_examples", "SELECT row_id, '3 5' AS input, '8' AS output FROM rl WHERE prompt IS NOT NULL")
+@query("s9_8_numbered_examples", "SELECT row_id, row_id::varchar AS input, length(prompt)::varchar AS output FROM rl WHERE prompt IS NOT NULL AND row_id % 3 = row_id % 2")
 def numbered_examples(t):
-    e = F.explode(X.numbered_examples(F.concat(F.col("prompt"), F.lit(_SAMPLE + _SAMPLE.replace("Output 1", "Output 2")))))
+    """Pairs count only where both numbers agree."""
+    e = F.explode(X.numbered_examples(_with_sample("concat(' ', row_id % 3)", "concat(' ', row_id % 2)")))
     return t.rl.where("prompt is not null").select("row_id", e.alias("e")).select("row_id", "e.input", "e.output")
 
 
@@ -443,9 +543,12 @@ def diff(t):
     return t.sft.select("row_id", F.length(C.unified_diff_udf(F.col("completion"), F.col("prompt"))).alias("characters"))
 
 
-@query("s9_12_strip", "SELECT row_id, regexp_matches(completion, '[^\\s]') AS has_text FROM sft WHERE completion IS NOT NULL")
+_SPACES = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+
+
+@query("s9_12_strip", f"SELECT doc_id, trim(text, {_SPACES}) AS stripped, rtrim(text, {_SPACES}) AS right_stripped FROM documents")
 def strip(t):
-    return t.sft.where("completion is not null").select("row_id", (F.length(X.strip(F.col("completion"))) > 0).alias("has_text"))
+    return t.documents.select("doc_id", X.strip(F.col("text")).alias("stripped"), X.rstrip(F.col("text")).alias("right_stripped"))
 
 
 @query("s9_13_prefix", "SELECT doc_id, CASE WHEN starts_with(source, 'forum.') THEN substr(source, 7) ELSE source END AS host FROM documents")
@@ -463,11 +566,12 @@ def links(t):
     return t.documents.where("text is not null").select("doc_id", F.size(X.links(F.col("text"))).cast("long").alias("links"))
 
 
-@query("s9_16_string_list", "SELECT row_id, CASE WHEN tests IS NOT NULL THEN len(tests) END AS tests, CAST(NULL AS bigint) AS numbers FROM rl")
+@query("s9_16_string_list", "SELECT row_id, CASE WHEN tests IS NOT NULL THEN len(tests) END AS tests, CASE row_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS others FROM rl")
 def string_list(t):
+    """Lists of strings; anything else, such as a list that holds a number, is null."""
     n = lambda c: F.when(c.isNotNull(), F.size(c)).cast("long")
-    mixed = F.to_json(F.array(F.size("tests")))
-    return t.rl.select("row_id", n(X.string_list(F.to_json("tests"))).alias("tests"), n(X.string_list(F.when(F.col("row_id") > 0, F.lit('["a", 1]')))).alias("numbers"))
+    other = F.element_at(F.array(*map(F.lit, ('["a","b"]', "[]", '["a", 1]', '{"a": "b"}', '["a", null]'))), (F.col("row_id") % 5 + 1).cast("int"))
+    return t.rl.select("row_id", n(X.string_list(F.to_json("tests"))).alias("tests"), n(X.string_list(other)).alias("others"))
 
 
 @query("s7_7_ngrams", f"SELECT doc_id, greatest(len({W.format('text')}) - 11, 0) AS grams FROM documents WHERE text IS NOT NULL")
@@ -549,14 +653,15 @@ f AS (SELECT coalesce(reason, CASE WHEN {H.format('key')} % 20 = 0 THEN 'valid'
 SELECT outcome, count(*) AS rows FROM f GROUP BY 1""",
 )
 def curated_corpus(t):
-    """Documents by outcome: held-out overlap, then length and duplicates, then the split of the key's hash."""
-    docs = t.documents.select("doc_id", "text")
-    hits = D.overlapping(docs, "doc_id", "text", t.evaluation).withColumn("hit", F.lit(True))
-    rows = docs.join(hits, "doc_id", "left").withColumn("outcome", F.when(F.col("text").isNull(), "no_text").when(F.col("hit"), "eval_overlap"))
-    rest = rows.where("outcome is null").select("doc_id", X.normalized(F.col("text")).alias("norm"), X.token_count(F.col("text")).alias("n")).withColumn("k", F.sha2("norm", 256))
-    judged = S.first_accepted(rest, "k", "doc_id", F.col("n").between(6, 4000), "length", "duplicate", "outcome")
-    split = judged.select(F.coalesce("outcome", P.split_of(F.col("norm"))).alias("outcome"))
-    return rows.where("outcome is not null").select("outcome").unionByName(split).groupBy("outcome").agg(F.count("*").alias("rows"))
+    """Documents by outcome: held-out overlap, then length and duplicates, then the split of the key's hash. Texts are normalized once;
+    what follows works on their keys."""
+    hits = D.overlapping(t.documents, "doc_id", "text", t.evaluation).withColumn("hit", F.lit(True))
+    norm = X.normalized(F.col("text"))
+    keyed = written(t.documents.select("doc_id", F.sha2(norm, 256).alias("k"), X.token_count(F.col("text")).alias("n"), P.split_of(norm).alias("split"), F.col("text").isNull().alias("empty")), "keyed")
+    rows = keyed.join(hits, "doc_id", "left").withColumn("outcome", F.when(F.col("empty"), "no_text").when(F.col("hit"), "eval_overlap"))
+    judged = S.first_accepted(rows.where("outcome is null").select("doc_id", "k", "n", "split"), "k", "doc_id", F.col("n").between(6, 4000), "length", "duplicate", "outcome")
+    kept = judged.select(F.coalesce("outcome", "split").alias("outcome"))
+    return rows.where("outcome is not null").select("outcome").unionByName(kept).groupBy("outcome").agg(F.count("*").alias("rows"))
 
 
 @query("s6_1_reason_funnel", "SELECT reason, count(*) AS rows FROM (SELECT CASE WHEN source IS NULL THEN 'no_source' WHEN split = 'test' THEN 'test_row' END AS reason FROM sft) GROUP BY 1")
@@ -580,8 +685,3 @@ _BOTH = f"list_concat({W.format('prompt')}, {W.format('completion')}) = {W.forma
 @query("s9_18_token_boundary", f"SELECT row_id, {_BOTH} AS clean FROM sft WHERE prompt IS NOT NULL AND completion IS NOT NULL")
 def token_boundary(t):
     return t.sft.where("prompt is not null and completion is not null").select("row_id", X.splits_cleanly(F.col("prompt"), F.col("completion")).alias("clean"))
-
-
-@query("s13_5_single_stage", "SELECT sample_id, count(*) AS rows FROM samples GROUP BY 1 HAVING count(*) > 1")
-def single_stage(t):
-    return D.key_violations(t.samples, "sample_id")
