@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +122,31 @@ SELECT row_id, prompt, 'x', split <> 'train', regexp_replace(lower(coalesce(entr
     "x.held <> y.held",
 )
 _P1_PAIRS = "SELECT a, b FROM j WHERE similarity >= 0.6 OR (named AND similarity >= 0.35)"
+
+
+def _compatible_sql(column: str) -> str:
+    """A text in SQL as leakage.canonical() sees it, as far as word characters go: composed, without format characters, and with the
+    characters that NFKC turns into word characters replaced, those that become several by one replacement each."""
+    single, several = {}, {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]):
+        plain = unicodedata.normalize("NFKC", c).casefold()
+        if plain != c.lower() and re.search("[a-z0-9_]", plain):
+            (single if len(plain) == 1 else several)[c] = plain
+    text = f"translate({column}, '{''.join(single)}', '{''.join(single.values())}')"
+    for c in "ﬀﬁﬂﬃﬄﬅﬆ":
+        text = f"replace({text}, '{c}', '{several[c]}')"
+    return f"regexp_replace(replace(nfc_normalize({text}), 'ß', 'ss'), '\\p{{Cf}}+', '', 'g')"
+
+
+def _leaks_sql() -> str:
+    words = lambda column: f"regexp_extract_all(lower({_compatible_sql(column)}), '[a-z0-9_]+')"
+    return f"""WITH e AS (SELECT task_id, {words("prompt")} AS t FROM evaluation WHERE task_id IS NOT NULL),
+g AS (SELECT task_id, 12 AS n, unnest(list_transform(range(1, len(t) - 10), lambda i: array_to_string(t[i:i + 11], ' '))) AS g FROM e WHERE len(t) >= 12 UNION SELECT task_id, len(t), array_to_string(t, ' ') FROM e WHERE len(t) BETWEEN 6 AND 11),
+d AS (SELECT doc_id, {words("text")} AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT DISTINCT n FROM g),
+x AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS g FROM d, s WHERE len(t) >= n)
+SELECT DISTINCT doc_id, task_id FROM x JOIN g USING (g)"""
+
+
 _P3 = (
     _similarity_sql("SELECT row_id, prompt, 'grpo' AS tab, false AS held, '' AS name FROM grpo UNION ALL SELECT row_id, prompt, 'rl', false, '' FROM rl", "x.tab = y.tab")
     + """, l AS (SELECT a, b FROM j WHERE similarity >= 0.6 UNION SELECT b, a FROM j WHERE similarity >= 0.6),
@@ -133,6 +160,7 @@ SELECT split, source, count(*) AS pairs, count(DISTINCT row_id) AS rows FROM k J
 t AS (SELECT row_id, prompt FROM sft WHERE split IN ('train', 'valid', 'test') UNION ALL SELECT row_id, prompt FROM grpo WHERE split IN ('train', 'valid', 'test')),
 x AS (SELECT row_id, len({_WORDS}) >= 3 AS long, array_to_string({_WORDS}, ' ') AS w FROM t)
 SELECT row_id, CASE WHEN long THEN min(row_id) OVER (PARTITION BY long, w) ELSE row_id END AS class_id, (SELECT count(*) FROM l WHERE l.row_id = x.row_id) AS links FROM x""",
+    "p5_found": _leaks_sql(),
     "p3_found": f"{_P3} SELECT a AS row_a, b AS row_b FROM reach WHERE a < b",
     "p3_groups": f"""{_P3} SELECT tab AS scope, row_id, coalesce(least(row_id, first), row_id) AS group_id, coalesce(n, 1) AS rows
 FROM (SELECT 'grpo' AS tab, row_id FROM grpo UNION ALL SELECT 'rl', row_id FROM rl) LEFT JOIN (SELECT a AS row_id, min(b) AS first, count(DISTINCT b) AS n FROM reach GROUP BY 1) USING (row_id)""",
