@@ -14,7 +14,7 @@ from .neardup import group_pairs, near_groups
 from .overlap import overlap_counts, overlaps, row_links
 from .packing import fill, pack
 from .pii import find_pii, redact_pii
-from .records import copies, records
+from .records import SECTION_LABELS, copies, records
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -138,6 +138,25 @@ def _compatible_sql(column: str) -> str:
     return f"regexp_replace(replace(nfc_normalize({text}), 'ß', 'ss'), '\\p{{Cf}}+', '', 'g')"
 
 
+def _records_sql() -> str:
+    """CTEs up to g (row_id, first): sft rows with the first row of their record."""
+    labels = "|".join(sorted(SECTION_LABELS, key=len, reverse=True))
+    start, mark = r"(?:^|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}])[^\S\n\r]*[\x{feff}\x{200b}]?", r"(?:(?:\#+[^\S\n\r]*[*_]*|\*+|_+|\[|<|\(|【)[^\S\n\r]*)?"
+    signed = rf"{start}{mark}({labels})[^\S\n\r]*(?:[:：\-–—]|[*_\])>】]+[^\S\n\r]*[:：]?)"
+    alone = rf"{start}{mark}({labels})[^\S\n\r]*([\n\r]|$)"
+    headed = rf"{start}\#+[^\S\n\r]*[*_]*[^\S\n\r]*({labels})([^a-z0-9]|$)"
+    cut = "prompt"
+    for rule, kept in ((signed, ""), (alone, r"\2"), (alone, r"\2"), (headed, r"\2")):  # twice, as two labels may share a line end
+        cut = f"regexp_replace({cut}, '(?i){rule}', chr(1) || '\\1' || chr(2) || '{kept}', 'g')"
+    plain = lambda c: f"regexp_replace(lower({c}), '[^\\pL\\pN]+', '', 'g')"
+    key_value = f"""'json:' || {plain("k")} || ':' || {plain("coalesce(json_extract_string(j, '$." + chr(34) + "' || k || '" + chr(34) + "'), '')")}"""
+    return f"""WITH r AS (SELECT row_id, prompt, {plain("completion")} AS c, try_cast(CASE WHEN regexp_matches(prompt, '^[\\x{{feff}}\\s]*\\{{') THEN trim(prompt, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) END AS JSON) AS j
+FROM sft WHERE regexp_matches(prompt, '[\\pL\\pN]') AND regexp_matches(completion, '[\\pL\\pN]')),
+s AS (SELECT row_id, c, CASE WHEN json_type(j) = 'OBJECT' THEN list_transform(json_keys(j), lambda k: {key_value})
+ELSE list_transform(string_split('lead' || chr(2) || {cut}, chr(1)), lambda x: lower(split_part(x, chr(2), 1)) || ':' || {plain("split_part(x, chr(2), 2)")}) END AS f FROM r),
+g AS (SELECT row_id, min(row_id) OVER (PARTITION BY c, list_sort(f)) AS first FROM s)"""
+
+
 def _leaks_sql() -> str:
     words = lambda column: f"regexp_extract_all(lower({_compatible_sql(column)}), '[a-z0-9_]+')"
     return f"""WITH e AS (SELECT task_id, {words("prompt")} AS t FROM evaluation WHERE task_id IS NOT NULL),
@@ -160,6 +179,8 @@ SELECT split, source, count(*) AS pairs, count(DISTINCT row_id) AS rows FROM k J
 t AS (SELECT row_id, prompt FROM sft WHERE split IN ('train', 'valid', 'test') UNION ALL SELECT row_id, prompt FROM grpo WHERE split IN ('train', 'valid', 'test')),
 x AS (SELECT row_id, len({_WORDS}) >= 3 AS long, array_to_string({_WORDS}, ' ') AS w FROM t)
 SELECT row_id, CASE WHEN long THEN min(row_id) OVER (PARTITION BY long, w) ELSE row_id END AS class_id, (SELECT count(*) FROM l WHERE l.row_id = x.row_id) AS links FROM x""",
+    "p2_found": f"{_records_sql()} SELECT first AS row_a, row_id AS row_b FROM g WHERE first <> row_id",
+    "p2_records": f"{_records_sql()} SELECT first AS row_id, count(*) AS copies FROM g GROUP BY 1",
     "p5_found": _leaks_sql(),
     "p3_found": f"{_P3} SELECT a AS row_a, b AS row_b FROM reach WHERE a < b",
     "p3_groups": f"""{_P3} SELECT tab AS scope, row_id, coalesce(least(row_id, first), row_id) AS group_id, coalesce(n, 1) AS rows
