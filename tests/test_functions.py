@@ -129,7 +129,7 @@ SCOPES = [
 
 @pytest.mark.parametrize("code,fault", SCOPES)
 def test_names_are_resolved_through_scopes(code, fault):
-    assert C._scope_fault(code) == fault
+    assert C._scope_fault(code, C.parse(code)) == fault
 
 
 def test_example_tests():
