@@ -63,7 +63,7 @@ def code_plan(rows: int) -> tuple[int, int, int]:
     if rows <= 1 << 21:
         return 13, 24, 320
     bits = min(22, 14 + 2 * math.ceil((math.log2(rows) - 21) / 2))
-    return bits, simhash.TABLES, round(256 * 2 ** ((bits - 14) * 0.75))
+    return bits, simhash.TABLES, round(300 * 2 ** ((bits - 14) * 0.75))
 
 
 def name_plan(rows: int) -> tuple[int, int, int]:
