@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,13 +52,3 @@ def drop_written(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         files, there = _file_system(spark, file.partition("/part-")[0])
         files.delete(there, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now. It does so when the driver collects its garbage, which a driver
-    with a large heap rarely does by itself, while the files fill the executors' disks. The pauses let the listeners drop the last step
-    and the cleaner, which works in the background, get ahead of the next step."""
-    gc.collect()
-    time.sleep(0.5)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.8)
