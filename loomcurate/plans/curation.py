@@ -4,9 +4,6 @@ and lengths by the same formula on both sides; they stand in for the output of a
 from __future__ import annotations
 
 import functools
-import json
-import tempfile
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -101,23 +98,23 @@ def publish(t):
     return t.spark.read.parquet(IO.new_version(t.rl.select("row_id", "split"), new_path(t.spark, "versions"))).groupBy("split").agg(F.count("*").alias("rows"))
 
 
-def _lock(t: Tables, facts: dict, **tables: DataFrame) -> str:
-    """A lock in a folder of the driver, where locks are written and read."""
-    path = f"{tempfile.mkdtemp()}/data.lock.json"
-    IO.write_lock(IO.lock_of(tables, **facts), path)
-    return path
+def _lock(t: Tables, facts: dict, **tables: DataFrame) -> dict:
+    """A lock written and read again."""
+    path = f"{new_path(t.spark, 'lock')}/data.lock.json"
+    IO.write_lock(IO.lock_of(tables, **facts), path, t.spark)
+    return IO.read_lock(path, t.spark)
 
 
 @query("s1_10_verified_manifest", "SELECT suite, count(*) AS tasks FROM evaluation GROUP BY 1")
 def verified_manifest(t):
     """The evaluation's tasks after its fingerprint and the facts that its lock binds were found right."""
-    path = _lock(t, {"revision": "r1"}, evaluation=t.evaluation)
-    return IO.locked(t.evaluation, path, "evaluation", {"revision": "r1"}).groupBy("suite").agg(F.count("*").alias("tasks"))
+    stated = _lock(t, {"revision": "r1"}, evaluation=t.evaluation)
+    return IO.locked(t.evaluation, stated, "evaluation", {"revision": "r1"}).groupBy("suite").agg(F.count("*").alias("tasks"))
 
 
 @query("s1_11_lock", "SELECT 'rl' AS name, count(*) AS rows, 64 AS digits, 'r1' AS revision FROM rl UNION ALL SELECT 'evaluation', count(*), 64, 'r1' FROM evaluation")
 def lock(t):
-    stated = json.loads(Path(_lock(t, {"revision": "r1"}, rl=t.rl, evaluation=t.evaluation)).read_text(encoding="utf-8"))
+    stated = _lock(t, {"revision": "r1"}, rl=t.rl, evaluation=t.evaluation)
     return t.spark.createDataFrame([(n, x["rows"], len(x["fingerprint"]), stated["revision"]) for n, x in stated["tables"].items()], "name string, rows long, digits int, revision string")
 
 

@@ -82,22 +82,48 @@ def lock_of(tables: dict[str, DataFrame], **facts: object) -> dict:
     return {"tables": {n: fingerprint(df).first().asDict() for n, df in tables.items()}, **facts}
 
 
-def write_lock(lock: dict, path: str | Path) -> None:
-    """Writes a lock by way of a temporary file beside it; an existing lock is kept and refused."""
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of the JVM."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def write_lock(lock: dict, path: str | Path, spark: SparkSession | None = None) -> None:
+    """Writes a lock by way of a temporary file beside it; an existing lock is kept and refused. With a session the path is one of
+    the cluster's file systems, else one of this machine."""
+    text = json.dumps(lock, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+    if spark is not None:
+        files, there = _hadoop(spark, str(path))
+        if files.exists(there):
+            raise FileExistsError(str(path))
+        _, beside = _hadoop(spark, f"{path}.{os.getpid()}")
+        out = files.create(beside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not files.rename(beside, there):
+            raise FileExistsError(str(path))
+        return
     path = Path(path)
     if path.exists():
         raise FileExistsError(path)
     temporary = path.with_name(f".{path.name}.{os.getpid()}")
-    temporary.write_text(json.dumps(lock, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+    temporary.write_text(text, encoding="utf-8")
     os.replace(temporary, path)
 
 
-def locked(df: DataFrame, lock: str | Path, name: str, bindings: dict[str, object] | None = None) -> DataFrame:
+def read_lock(path: str | Path, spark: SparkSession | None = None) -> dict:
+    """A lock that write_lock() made."""
+    if spark is not None:
+        return json.loads(spark.read.text(str(path), wholetext=True).first()["value"])
+    return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def locked(df: DataFrame, lock: str | Path | dict, name: str, bindings: dict[str, object] | None = None) -> DataFrame:
     """df after its fingerprint was found to equal the lock's; bindings are facts the lock must hold, such as the evaluation's hash."""
-    stated = json.loads(Path(lock).read_text(encoding="utf-8"))
+    stated = lock if isinstance(lock, dict) else read_lock(lock)
     for k, v in (bindings or {}).items():
         if stated.get(k) != v:
-            raise DataError(f"{lock}: {k} is {stated.get(k)!r}, not {v!r}")
+            raise DataError(f"{name}: {k} is {stated.get(k)!r} in the lock, not {v!r}")
     if stated["tables"].get(name) != (found := fingerprint(df).first().asDict()):
         raise DataError(f"{name} doesn't match its lock: {found}")
     return df

@@ -128,3 +128,11 @@ def test_links_and_bindings(spark):
     with pytest.raises(T.DataError, match="audit is bound to another scorer"):
         T.require_bindings(stated, found)
     T.require_bindings(stated.limit(0), found)
+
+
+def test_locks_on_the_cluster(spark, tmp_path):
+    path = f"file://{tmp_path}/deep/x.lock.json"
+    T.write_lock({"tables": {}, "ü": 1}, path, spark)
+    assert T.read_lock(path, spark) == {"tables": {}, "ü": 1} and [f.name for f in (tmp_path / "deep").iterdir() if f.name[0] != "."] == ["x.lock.json"]
+    with pytest.raises(FileExistsError):
+        T.write_lock({}, path, spark)
