@@ -25,20 +25,31 @@ def _least(values: np.ndarray, owner: np.ndarray, n: int, slots: int) -> np.ndar
     """(n, slots): the least value of each slot over the elements of each owner."""
     seed = mix(values.astype(np.uint64) * _STEP + np.uint64(1))
     least = np.full((n, slots), np.inf)
+    flat = least.reshape(-1)
     perm = np.tile(np.arange(slots, dtype=_ranks(slots)), (len(values), 1))
+    row, first = np.arange(len(values)) * slots, owner * slots
+    alive = np.flatnonzero(np.bincount(owner, minlength=n))
     for j in range(slots):
         draw = mix(seed + np.uint64((j + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
-        k = j + ((draw >> np.uint64(40)).astype(np.int64) % (slots - j))
-        fraction = (draw & np.uint64(0xFFFFFFFFFF)).astype(np.float64) / float(1 << 40)
-        at = np.arange(len(k))
-        slot = perm[at, k].astype(np.int64)
-        perm[at, k] = perm[:, j]
-        np.minimum.at(least.reshape(-1), owner * slots + slot, fraction + j)
-        going = least.max(axis=1) >= j + 1
-        if not going.any():
+        k = row + (j + ((draw >> np.uint64(40)).astype(np.uint32) % np.uint32(slots - j)).astype(np.int64))
+        fraction = (draw & np.uint64(0xFFFFFFFFFF)).astype(np.float64)
+        fraction *= 1 / float(1 << 40)
+        fraction += j
+        cells = perm.reshape(-1)
+        slot = cells[k]
+        cells[k] = perm[:, j]
+        np.minimum.at(flat, first + slot, fraction)
+        going = least[alive].max(axis=1) >= j + 1
+        if going.all():
+            continue
+        alive = alive[going]
+        if not len(alive):
             break
-        if not going.all() and (keep := going[owner]).mean() < 0.7:
-            owner, seed, perm = owner[keep], seed[keep], perm[keep]
+        wanted = np.zeros(n, bool)
+        wanted[alive] = True
+        keep = np.flatnonzero(wanted[owner])
+        if len(keep) < 0.8 * len(owner):
+            owner, seed, perm, first, row = owner[keep], seed[keep], perm[keep], first[keep], row[: len(keep)]
     return least
 
 
