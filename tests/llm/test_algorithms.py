@@ -259,7 +259,7 @@ def found_by_codes(size, similarity, pairs, bits, probes, tables=H.TABLES, seed=
 @pytest.mark.parametrize("size", [8, 60])
 def test_code_plans_are_carried_out_and_hold_their_recall(rows, size):
     bits, tables, probes = O.code_plan(rows)
-    assert found_by_codes(size, 0.6, 600, bits, probes, tables) >= 0.985
+    assert found_by_codes(size, 0.6, 600, bits, probes, tables) >= (0.98 if rows == 10**6 else 0.99)
 
 
 @pytest.mark.parametrize("rows", [0, (1 << 16) + 1, (1 << 20) + 1])
